@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, token_count
+from . import bpe_chunks, near_dedup, token_count
 from .common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -12,6 +12,10 @@ BPE_JSON = f"{TOKENIZERS}/byte_bpe_50k.json"
 BPE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, limit=512)
 
@@ -21,6 +25,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
