@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, near_dedup, token_count
+from . import bpe_chunks, line_dedup, media, near_dedup, packing, token_count
 from .common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,13 +20,74 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, limit=512)
 
 
+def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode_digests(read_table(spark, sf_dir, "documents"), BPE_RANKS)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, capacity=2048)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_interleaved_media": op3_interleaved_media,
+    "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_best_fit_packing": op9_best_fit_packing,
+}
+
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+FROM documents d JOIN reached r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id""",
+    "op7_line_dedup": """
+WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+counts AS (
+  SELECT source, line, count(*) AS pages
+  FROM (SELECT DISTINCT doc_id, source, trim(u) AS line FROM (SELECT doc_id, source, unnest(lines) AS u FROM p))
+  WHERE line <> '' GROUP BY source, line),
+marks AS (
+  SELECT source, list(line) AS marks FROM counts JOIN totals USING (source)
+  WHERE pages >= 5 AND pages * 100 > total * 5 GROUP BY source),
+cut AS (
+  SELECT p.*, CASE WHEN marks IS NULL THEN lines
+              ELSE list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(marks, trim(x))) END AS kept
+  FROM p LEFT JOIN marks USING (source)),
+sized AS (
+  SELECT *, coalesce(list_sum(list_transform(lines, lambda x: length(trim(x)))), 0) AS whole,
+         coalesce(list_sum(list_transform(kept, lambda x: length(trim(x)))), 0) AS part FROM cut),
+final AS (SELECT *, CASE WHEN (whole - part) * 100 > whole * 50 THEN lines ELSE kept END AS stay FROM sized)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(stay, chr(10)) END AS text,
+       coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(stay), 0) AS n_dropped
+FROM final""",
 }
-ORACLES: dict[str, str] = {}
