@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, line_dedup, media, near_dedup, packing, token_count
+from . import ann, bpe_chunks, line_dedup, media, near_dedup, packing, token_count, url_filter
 from .common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,14 @@ def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark, read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_interleaved_media": op3_interleaved_media,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -56,12 +66,12 @@ shingles AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
   GROUP BY 1, 2),
 links AS (
   SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
 reached(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
@@ -69,6 +79,7 @@ reached(doc_id, other) AS (
 SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
 FROM documents d JOIN reached r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 GROUP BY d.doc_id""",
+    "op6_url_filter": url_filter.oracle(),
     "op7_line_dedup": """
 WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
