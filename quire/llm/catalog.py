@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_chunks, line_dedup, media, near_dedup, packing, token_count, url_filter
+from . import ann, bpe_chunks, html_extract, line_dedup, media, near_dedup, packing, quality, token_count, url_filter
 from .common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,11 @@ def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.classify(spark, docs, labels)
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -44,15 +49,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, capacity=2048)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_interleaved_media": op3_interleaved_media,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
