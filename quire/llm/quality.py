@@ -92,24 +92,42 @@ class Views:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps; both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    balance = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y <= 0).sum()))
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+def _descend(x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, penalty: np.ndarray, towards: np.ndarray, rounds: int) -> np.ndarray:
+    """Penalised logistic regression by Newton steps that are halved until the loss falls."""
+
+    def loss(w):
+        z = x @ w
+        return (weigh * (np.logaddexp(0, z) - targets * z)).sum() + 0.5 * (penalty * (w - towards) ** 2).sum()
+
+    w = towards.copy()
+    held = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (balance * (p - y)) + penalty * w
-        curve = (x * (balance * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (weigh * (p - targets)) + penalty * (w - towards)
+        curve = (x * (weigh * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        for _ in range(30):
+            tried = loss(w - step)
+            if tried <= held:
+                break
+            step = step / 2
+        else:
+            break
+        w, gain, held = w - step, held - tried, tried
+        if gain < 1e-9 * (1 + abs(held)):
             break
     return w
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights and, last, the intercept; both classes weigh the same."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    balance = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y <= 0).sum()))
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    return _descend(x, y, balance, penalty, np.zeros(x.shape[1]), rounds)
+
+
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
@@ -117,15 +135,8 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def calibrate(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and shift that make logits into log-odds of held-out labels (Platt)."""
     targets = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, 0.0
     x = np.stack([scores, np.ones(len(scores))], 1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-2, 1e-6])
-        step = np.linalg.solve(curve, x.T @ (p - targets) + np.array([1e-2 * (a - 1), 0]))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
+    a, b = _descend(x, targets, np.ones(len(scores)), np.array([1e-2, 1e-6]), np.array([1.0, 0.0]), 40)
     return max(float(a), 0.0), float(b)
 
 

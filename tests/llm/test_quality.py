@@ -45,8 +45,8 @@ def test_views_exchange_labels():
     y = (rng.random(3000) < 0.5).astype(float)
     clear = np.stack([y * 4 + rng.normal(size=3000)], 1)
     noisy = np.stack([y * 2 + rng.normal(size=3000) * 1.2], 1)
-    few = slice(0, 40)
-    views, pool = [clear[few], noisy[few]], [clear[40:2000], noisy[40:2000]]
+    few = slice(0, 200)
+    views, pool = [clear[few], noisy[few]], [clear[200:2000], noisy[200:2000]]
     alone = quality.co_train(views, y[few], pool, rounds=0)
     both = quality.co_train(views, y[few], pool)
     test = [clear[2000:], noisy[2000:]]
