@@ -8,7 +8,7 @@ from decimal import Decimal
 from typing import Any, Literal
 
 from .files import Document, Entry
-from .lexer import DELIMITERS, WHITESPACE
+from .lexer import DELIMITERS
 from .values import Name, PdfString, Ref, Stream, WriteError, get, references
 
 #: Fixed value: the second line of a file, which marks it as binary.
@@ -41,18 +41,14 @@ def write_name(name: str) -> bytes:
     return b"/" + body
 
 
+_STRING_ESCAPE = re.compile(rb"[()\\]|[^\x20-\x7e]")
+_STRING_ESCAPES = {bytes([b]): b"\\%03o" % b for b in range(256)} | {bytes([b]): b"\\" + bytes([b]) for b in b"()\\"}
+
+
 def write_string(value: PdfString) -> bytes:
     if value.form == "hex":
         return b"<" + value.data.hex().encode() + b">"
-    out = bytearray(b"(")
-    for b in value.data:
-        if b in b"()\\":
-            out += b"\\" + bytes([b])
-        elif 0x20 <= b <= 0x7E:
-            out.append(b)
-        else:
-            out += b"\\%03o" % b
-    return bytes(out + b")")
+    return b"(" + _STRING_ESCAPE.sub(lambda m: _STRING_ESCAPES[m[0]], value.data) + b")"
 
 
 def write_object(value: Any) -> bytes:

@@ -106,15 +106,17 @@ def descendant_counts(edges: DataFrame, roots: DataFrame, max_depth: int = paget
     """Pages below every node, from edges (file_id, parent, child, is_page), level by level.
 
     The cross-check of the walk in the kernel: one join for each level of the
-    deepest tree, which the depth limit bounds.
+    deepest tree, which the depth limit bounds.  Edges and frontiers are kept
+    between the levels and can be computed anew if an executor is lost.
     """
+    edges = edges.persist()
     reached = roots.select("file_id", F.col("node").alias("ancestor"), F.col("node").alias("parent"))
     found = None
     for _ in range(max_depth):
         step = reached.join(edges, ["file_id", "parent"])
         pages = step.where("is_page").select("file_id", "ancestor")
         found = pages if found is None else found.unionByName(pages)
-        reached = step.where("not is_page").select("file_id", "ancestor", F.col("child").alias("parent"))
+        reached = step.where("not is_page").select("file_id", "ancestor", F.col("child").alias("parent")).persist()
         if reached.isEmpty():
             break
     return found.groupBy("file_id", "ancestor").agg(F.count(F.lit(1)).alias("pages"))
