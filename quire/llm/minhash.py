@@ -66,12 +66,13 @@ class Circulant:
 
     The first permutation scatters the shingles once.  Coordinate k is the
     minimum of the second permutation after its argument is shifted round the
-    circle by k, so no further permutations are needed.
+    circle by k, so no further permutations are needed.  ``length`` asks for
+    more coordinates than the bands take.
     """
 
-    def __init__(self, bands: int, rows: int, seed: int = 0x9E3779B9):
+    def __init__(self, bands: int, rows: int, length: int | None = None, seed: int = 0x9E3779B9):
         self.bands, self.rows, self.seed = bands, rows, np.uint32(seed)
-        self.shifts = np.arange(1, bands * rows + 1, dtype=np.uint32)[:, None]
+        self.shifts = np.arange(1, max(bands * rows, length or 0) + 1, dtype=np.uint32)[:, None]
         self.band_ids = mix64(np.arange(1, bands + 1, dtype=np.uint64) * _WEIGHTS[62])
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ class Circulant:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit key for each band; keys of different bands differ."""
-        rows = signature.astype(np.uint64).reshape(self.bands, self.rows)
+        rows = signature[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
         return mix64((rows * _WEIGHTS[: self.rows]).sum(axis=1, dtype=np.uint64) ^ self.band_ids).view(np.int64)
 
 

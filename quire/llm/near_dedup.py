@@ -18,8 +18,9 @@ Order of work:
    banding has found, whatever the size of the bucket.
 
 With 32 bands of 4 rows two sets of similarity 0.8 share no bucket with
-probability 5e-8.  Signatures must agree in 60 % of 128 coordinates before the
-exact check in step 4; at similarity 0.8 fewer agree with probability 1e-7.
+probability 5e-8.  In step 4, signatures of 1024 coordinates must agree in 74 %
+before the exact check; at similarity 0.8 fewer agree with probability 8e-7.
+A pair is looked at in the first bucket that it shares only.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from .components import components
 BANDS, ROWS = 32, 4
 #: Rows of one block in step 4.
 BLOCK_ROWS = 512
-#: Share of signature coordinates that must agree in step 4.
-ALIKE = 0.6
+#: Coordinates of the signatures in step 4, a byte each, and how far below the wanted similarity their agreement may be.
+LONG, SLACK = 1024, 0.06
 
 
 def near_duplicates(
@@ -121,27 +122,30 @@ def _describe(work: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, size) of every bucket with at least two nodes."""
-    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
+    """(key, band, node, n, size) of every bucket with at least two nodes."""
+    dealt = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return dealt.join(sizes, "key").select("key", "node", "n", "size")
+    return dealt.join(sizes, "key").select("key", "band", "node", "n", "size")
 
 
 def _members(work: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
     """(node, n, sign, shingles) of every node that is in a bucket.
 
-    ``sign`` is the signature cut to a byte for each coordinate.
+    ``sign`` has the first four bytes of every band key, then the long
+    signature cut to a byte for each coordinate.
     """
     wanted = buckets.select(F.col("node").alias("id")).distinct()
 
     def rows():
         shingles = minhash.shingler(width)
-        circulant = minhash.Circulant(BANDS, ROWS)
+        circulant = minhash.Circulant(BANDS, ROWS, LONG)
 
         def one(row):
             own = shingles(row["text"])
             if len(own):
-                yield row["id"], len(own), circulant.signature(own).astype(np.uint8).tobytes(), own.tobytes()
+                signature = circulant.signature(own)
+                keys = circulant.band_keys(signature).astype(np.uint32)
+                yield row["id"], len(own), keys.tobytes() + signature.astype(np.uint8).tobytes(), own.tobytes()
 
         return one
 
@@ -185,7 +189,7 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     named = (
         buckets.where("size > 2")
         .join(labels.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
-        .select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        .select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     )
     each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
     per_key = (
@@ -213,15 +217,15 @@ def _block_pairs(apart: DataFrame, members: DataFrame, percent: int, best: bool)
     rows = apart.withColumns({"q_blocks": blocks("minor"), "r_blocks": blocks("size")})
     rows = rows.withColumns({"q": slot(F.col("q_blocks"), 1), "r": slot(F.col("r_blocks"), 2)})
     as_row = rows.select(
-        "key", "node", "n", "label", F.lit(False).alias("query"), "r", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q")
+        "key", "band", "is_minor", "node", "n", "label", F.lit(False).alias("query"), "r", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q")
     )
     as_query = rows.where("is_minor").select(
-        "key", "node", "n", "label", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)).alias("r"), "q"
+        "key", "band", "is_minor", "node", "n", "label", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)).alias("r"), "q"
     )
     signs = members.select(F.col("node").alias("m"), "sign")
     signed = as_row.unionByName(as_query).join(signs, F.col("node") == F.col("m"))
     dealt = (
-        signed.select("key", "q", "r", "query", "node", "n", "label", "sign")
+        signed.select("key", "q", "r", "query", "node", "n", "label", "sign", "band", "is_minor")
         .repartition(partitions(apart.sparkSession), "key", "q", "r")
         .sortWithinPartitions("key", "q", "r")
     )
@@ -246,23 +250,36 @@ def _block_pairs(apart: DataFrame, members: DataFrame, percent: int, best: bool)
 
 
 def _alike(held: list[tuple], percent: int, best: bool) -> Iterator[tuple]:
-    """Pairs of a query and a row of another component; only the best of each query if asked."""
+    """Pairs of a query and a row of another component; only the best of each query if asked.
+
+    A pair of two queries is met twice and given once.
+    """
     queries = [r for r in held if r[0]]
     rows = [r for r in held if not r[0]]
     if not queries or not rows:
         return
+    band = rows[0][5]
     signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    keys = np.ascontiguousarray(signs[:, : 4 * BANDS]).view(np.uint32)[:, :band]
+    signs = np.ascontiguousarray(signs[:, 4 * BANDS :])
     sizes = np.array([r[2] for r in rows], np.int64)
     labels = np.array([r[3] for r in rows], np.int64)
-    for _, node, n, label, sign in queries:
-        agree = (signs == np.frombuffer(sign, np.uint8)).sum(axis=1)
-        fair = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-        agree[~fair | (labels == label)] = 0
-        least = ALIKE * signs.shape[1]
+    nodes = np.array([r[1] for r in rows], np.int64)
+    minor = np.array([r[6] for r in rows], bool)
+    least = (percent / 100 - SLACK) * LONG
+    for _, node, n, label, sign, _, _ in queries:
+        wanted = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (labels != label)
+        wanted &= ~(keys == np.frombuffer(sign, np.uint32, BANDS)[:band]).any(axis=1)  # met in an earlier bucket
+        if not best:
+            wanted &= ~(minor & (nodes < node))
+        at = np.flatnonzero(wanted)
+        if not len(at):
+            continue
+        agree = (signs[at] == np.frombuffer(sign, np.uint8, offset=4 * BANDS)).sum(axis=1)
         if best:
-            chosen = [int(agree.argmax())] if agree.max() >= least else []
+            chosen = [int(at[agree.argmax()])] if agree.max() >= least else []
         else:
-            chosen = np.flatnonzero(agree >= least).tolist()
+            chosen = at[agree >= least].tolist()
         for i in chosen:
             other, m = rows[i][1], rows[i][2]
             yield (node, other, n, m) if node < other else (other, node, m, n)
