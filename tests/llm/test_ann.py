@@ -67,3 +67,22 @@ def test_lists_are_balanced():
     centers = centroids.balanced_centroids(sample, 12)
     sizes = np.bincount(centroids.distances(sample, centers).argmin(1), minlength=12)
     assert sizes.max() <= 3 * sizes.mean()
+
+
+def test_border_vectors_are_replicated():
+    centers = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]])
+    graph = centroids.Graph(centers)
+    points = np.array([[5.02, 0.0], [0.1, 0.0], [9.0, 0.0], [5.0, 5.0]])
+    lists = ann.lists_of(graph, graph.search(points, ann.BORDER))
+    assert [sorted(x) for x in lists] == [[0, 1], [0], [1], [0, 1, 2]]
+
+
+def test_shards_are_bounded():
+    sizes = {0: 10, 1: ann.SHARD_ROWS * 2 + 1, 2: ann.SHARD_ROWS - 5, 3: 5, 4: 1}
+    first, parts = ann.deal(sizes)
+    assert parts == {0: 1, 1: 3, 2: 1, 3: 1, 4: 1}
+    filled = {}
+    for j, n in sizes.items():
+        for p in range(parts[j]):
+            filled[first[j] + p] = filled.get(first[j] + p, 0) + -(-n // parts[j])
+    assert max(filled.values()) <= ann.SHARD_ROWS
