@@ -241,6 +241,8 @@ def blocks(dom: Dom, kept: np.ndarray) -> str:
                 line, held = [], block_of[i]
             if kept[i]:
                 line.append(dom.texts[i])
+            elif dom.texts[i] == " ":  # blank text between inline elements keeps words apart
+                line.append(" ")
     out.append("".join(line))
     lines = (" ".join(x.split()) for x in out)
     return "\n".join(x for x in lines if x)

@@ -5,6 +5,9 @@ on pages that are written here with known labels (a bounded number, seeded).
 Attribute tokens enter by their log-odds in the training pages.  The decoding
 picks the likeliest labelling in which a node is kept only if its parent is,
 so no text survives below a dropped menu and no kept text hangs in the air.
+The inline content of a block is one unit with one label, so a paragraph
+doesn't lose a short link; only inline elements whose own attribute tokens
+speak against them are units of their own.
 """
 
 from __future__ import annotations
@@ -190,10 +193,40 @@ class Extractor:
         scores = self.trees.margin(np.concatenate(rows)) if rows else np.empty(0)
         out, at = [], 0
         for tree, own in zip(parsed, rows):
-            out.append(dom.blocks(tree, decode(tree.parents, scores[at : at + len(own)])))
+            out.append(dom.blocks(tree, self.kept(tree, scores[at : at + len(own)])))
             at += len(own)
         return out
 
+    def kept(self, tree: dom.Dom, margins: np.ndarray) -> np.ndarray:
+        return decode(tree.parents, pool_inline(tree, margins, self.weights))
+
+
+#: Log-odds of an attribute token from which an inline element stands for itself.
+AGAINST = -1.0
+
+
+def pool_inline(tree: dom.Dom, margins: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """Give all inline nodes of a block the mean margin of its text runs, weighted by length."""
+    n = len(tree.tags)
+    unit = [-1] * n
+    for i in range(1, n):
+        if tree.tags[i] in dom.INLINE:
+            p = tree.parents[i]
+            unit[i] = unit[p] if unit[p] >= 0 else p
+            if tree.attrs[i] and any(weights.get(t, 0) < AGAINST for t in dom.tokens(tree.attrs[i])):
+                unit[i] = i
+    total, size = [0.0] * n, [0] * n
+    values = margins.tolist()
+    for i in range(1, n):
+        if unit[i] >= 0 and tree.tags[i] == "#text":
+            length = len(tree.texts[i].strip())
+            total[unit[i]] += length * values[i]
+            size[unit[i]] += length
+    for i in range(1, n):
+        if unit[i] >= 0 and size[unit[i]]:
+            values[i] = total[unit[i]] / size[unit[i]]
+    return np.array(values)
+
 
 def decode(parents: list[int], margins: np.ndarray) -> np.ndarray:
     """The likeliest labelling in which every kept node has a kept parent.

@@ -28,6 +28,11 @@ def test_page(extractor):
     assert extractor.texts([PAGE]) == [TEXT]
 
 
+def test_blanks_between_inline_elements(extractor):
+    page = f"<article><p>{PROSE}<b>one</b> <i>two</i>\n<em>three</em><b>four</b></p><p>{PROSE}<a href='/x'>a</a> <a href='/y'>b</a> end.</p><p>{PROSE}<span class='advert'>Buy</span> now</p></article>"
+    assert extractor.texts([page]) == [f"{PROSE}one two threefour\n{PROSE}a b end.\n{PROSE}now"]
+
+
 def test_edges(spark, extractor):
     cases = {
         1: (None, ""), 2: ("", ""), 3: ("<", ""), 4: ("<!-- <p>x</p>", ""), 5: ("<script>only", ""),
@@ -58,7 +63,7 @@ def test_held_out_accuracy(extractor):
     right = total = 0
     for k in range(120):
         tree, labels = html_extract.labelled(html_extract._Writer(5_000_000 + k).page())
-        kept = html_extract.decode(tree.parents, extractor.trees.margin(dom.features(tree, extractor.weights)))
+        kept = extractor.kept(tree, extractor.trees.margin(dom.features(tree, extractor.weights)))
         for i, text in enumerate(tree.texts):
             total += len(text.strip())
             right += len(text.strip()) * (kept[i] == labels[i])
