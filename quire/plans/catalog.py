@@ -366,7 +366,7 @@ SELECT l_suppkey, min(l_partkey) AS first, count(*) AS count FROM (
   SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS island
   FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY l_suppkey, island""",
     "free_numbers": """
-SELECT l_orderkey, min(n) AS free_number FROM (
+SELECT l_orderkey, min(n)::BIGINT AS free_number FROM (
   SELECT DISTINCT l_orderkey, l_linenumber + 1 AS n FROM lineitem UNION SELECT DISTINCT l_orderkey, 1 FROM lineitem) f
 WHERE NOT EXISTS (SELECT 1 FROM lineitem u WHERE u.l_orderkey = f.l_orderkey AND u.l_linenumber = f.n) GROUP BY l_orderkey""",
     "body_offsets": """
@@ -382,7 +382,7 @@ FROM {_FILES} GROUP BY r_regionkey, bucket""",
     "round_trips": f"""
 SELECT mode, 'ok' AS outcome, count(*) AS n_files FROM (SELECT DISTINCT r_regionkey, bucket FROM {_FILES}), (VALUES ('table'), ('stream'), ('objstm')) m(mode)
 GROUP BY mode""",
-    "rewrite_differences": "SELECT 0 AS n_differences",
+    "rewrite_differences": "SELECT 0::BIGINT AS n_differences",
     "failure_groups": """
 SELECT count(*) AS n_files, lpad(CAST(min(s_suppkey) AS VARCHAR), 9, '0') AS first_file, least(count(*), 5)::INTEGER AS n_samples
 FROM supplier WHERE s_suppkey % 6 > 0 GROUP BY s_suppkey % 6""",
@@ -392,7 +392,7 @@ WITH f AS (SELECT conv_id, count(DISTINCT role) AS roles, count(DISTINCT turn %
 SELECT 'dict' AS kind, sum(2 + {corpora.PAGES} + 1 + 1 + roles + 1)::BIGINT AS n FROM f
 UNION ALL SELECT 'stream', sum({corpora.PAGES})::BIGINT FROM f UNION ALL SELECT 'array', sum(pages)::BIGINT FROM f""",
     "cross_reference_widths": """
-SELECT o_orderkey // 500 AS bucket, count(*) + 2 AS n, 1 AS n_free, CASE WHEN count(*) + 2 > 255 THEN 2 ELSE 1 END AS w2,
+SELECT o_orderkey // 500 AS bucket, count(*) + 2 AS n, 1::BIGINT AS n_free, CASE WHEN count(*) + 2 > 255 THEN 2 ELSE 1 END AS w2,
   CASE WHEN count(*) > 255 THEN 2 ELSE 1 END AS w3 FROM orders GROUP BY ALL""",
     "content_operators": """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 10 = 0 THEN 'refused BI' ELSE 'ok' END WHEN 'O' THEN 'context BT'
