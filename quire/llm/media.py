@@ -125,9 +125,10 @@ def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame
     """(row, id, position, digest, caption, *record) for every media reference.
 
     ``media`` has one row for each digest.  References are small rows, so a
-    digest that a third of all documents name costs skewed small rows, which
-    adaptive joins split; records aren't copied before the join.  A reference
-    without payload keeps its place with null record columns.
+    digest that a third of all documents name costs skewed small rows.  Give
+    records as a written table: then both sides are plain scans and an
+    adaptive join splits the frequent digest among tasks.  A reference without
+    payload keeps its place with null record columns.
     """
     refs = sequences.select(F.col(f"`{id_col}`"), F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = refs.select(F.col(f"`{id_col}`"), F.col("item.position").alias("position"), F.col("item.digest").alias("ref"), F.col("item.caption").alias("caption"))
@@ -244,10 +245,12 @@ def document_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     equal texts share one record.  The caption carries n_bytes through the
     page, which shows that captions stay with their media.
     """
-    media = Scratch(spark, "media").keep(store_media(docs, text_col=text_col), "media")
+    scratch = Scratch(spark, "media")
+    media = scratch.keep(store_media(docs, text_col=text_col), "media")
+    records = scratch.keep(inspect_media(media), "records")
     pages = illustrated(docs, id_col=id_col, text_col=text_col)
     sequences = parse_sequences(pages, id_col=id_col, html_col="html")
-    found = resolve(sequences, inspect_media(media), id_col=id_col)
+    found = resolve(sequences, records, id_col=id_col)
     return found.select(
         F.col(f"`{id_col}`"), F.col("caption").cast("long").alias("n_bytes"),
         "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
