@@ -9,6 +9,11 @@ cell.  The best island's bins stand, but for those with room left: their items
 form the cells of the next level, until one cell holds all that is left.  So
 the number of sequences approaches the total length over the capacity,
 whatever the number of cells.
+
+Lengths need not allow full bins (any two may exceed the capacity).  A level
+that settles too few items therefore keeps all its bins but each cell's least
+filled one, and if that settles too few as well, all of them.  So items left
+fall geometrically and the levels end, whatever the lengths.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ GENERATIONS = 8
 POPULATION = 4
 #: Bins filled at least so far are injected whole; bins filled less than this are packed again at the next level.
 WELL_FILLED = 0.995
+#: A level has stalled if it leaves more than this share of its items to the next.
+STALLED = 0.75
 
 
 def token_pieces(
@@ -160,21 +167,28 @@ def pack(spark: SparkSession, items: DataFrame, *, capacity: int = 2048, scratch
     full = items.where(F.col("length") >= capacity)
     placed = full.select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("length"))
-    level = 0
+    level, total = 0, rest.count()
     while True:
-        total = rest.count()
         cells = max(1, -(-total // CELL_ITEMS))
         solved = scratch.keep(_solve(rest, cells, capacity, level), f"level{level}")
-        done = solved if cells == 1 else solved.where("not loose")
+        again, left = F.lit(False), 0
+        if cells > 1:
+            for open_bins in (F.col("loose"), F.col("loose") & F.col("least")):
+                left = solved.where(open_bins).count()
+                if left <= STALLED * total:
+                    again = open_bins
+                    break
+            else:
+                left = 0
         number = F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("cell"), 24) + F.col("bin")
-        placed = placed.unionByName(done.select("item", number.alias("sequence_id"), "offset"))
-        if cells == 1:
+        placed = placed.unionByName(solved.where(~again).select("item", number.alias("sequence_id"), "offset"))
+        if not left:
             return placed
-        rest, level = solved.where("loose").select("item", "length"), level + 1
+        rest, total, level = solved.where(again).select("item", "length"), left, level + 1
 
 
 def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame:
-    """(cell, item, length, bin, offset, loose) of the best island of every cell."""
+    """(cell, item, length, bin, offset, loose, least) of the best island of every cell; least marks its emptiest bin."""
     dealt = items.withColumn("cell", F.pmod(F.xxhash64(F.lit(level), "item"), F.lit(cells)))
     islands = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))
     state = dealt.select("cell", islands.alias("island"), F.lit(-1).alias("sender"), "item", "length", F.lit(-1).alias("bin"))
@@ -214,9 +228,11 @@ def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
         cell = table["cell"][0].as_py()
         items, sizes, elites = _population(table, capacity)
         best = min(elites, key=lambda s: (len(s.bins), -s.fitness(capacity)))
-        bins, offsets, loose = (np.empty(len(items), t) for t in (np.int32, np.int64, bool))
+        bins, offsets, loose, least = (np.empty(len(items), t) for t in (np.int32, np.int64, bool, bool))
+        emptiest = max(range(len(best.bins)), key=best.room.__getitem__)
         for k, b in enumerate(best.bins):
             at = 0
+            least[b] = k == emptiest
             for i in sorted(b):
                 bins[i], offsets[i], loose[i] = k, at, best.room[k] > (1 - WELL_FILLED) * capacity
                 at += sizes[i]
@@ -228,11 +244,12 @@ def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
                 "bin": pa.array(bins, pa.int32()),
                 "offset": pa.array(offsets, pa.int64()),
                 "loose": pa.array(loose, pa.bool_()),
+                "least": pa.array(least, pa.bool_()),
             }
         )
 
     own = state.where(F.col("island") == F.col("sender"))
-    return own.groupBy("cell").applyInArrow(choose, "cell long, item long, length int, bin int, offset long, loose boolean")
+    return own.groupBy("cell").applyInArrow(choose, "cell long, item long, length int, bin int, offset long, loose boolean, least boolean")
 
 
 def _population(table: pa.Table, capacity: int) -> tuple[list[int], list[int], list[Solution]]:

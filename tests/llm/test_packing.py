@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from quire.llm import packing
 from quire.llm.catalog import BPE_JSON
+from quire.llm.common import Scratch
 
 
 def bins_of(rows, capacity):
@@ -36,6 +37,30 @@ def test_sequences_are_valid_and_few(spark, n, high):
     assert len(bins) <= least * 1.01 + 1
 
 
+class FewTables(Scratch):
+    def keep(self, df, name):
+        assert self.count < 40, "the levels don't end"
+        return super().keep(df, name)
+
+
+@pytest.mark.parametrize("kind", ["single", "pairs", "copies", "small"])
+def test_levels_end_where_no_bin_is_full(spark, kind):
+    rng = random.Random(7)
+    lengths = {
+        "single": [1100] * 5000,
+        "pairs": [rng.randrange(700, 1001) for _ in range(9000)],
+        "copies": [1500] * 6000 + [rng.randrange(1, 2048) for _ in range(6000)],
+        "small": [100] * 9000,
+    }[kind]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    got = packing.pack(spark, items, scratch=FewTables(spark, "packing")).collect()
+    assert sorted(r["item"] for r in got) == list(range(len(lengths)))
+    bins = bins_of([(lengths[r["item"]], r.sequence_id, r.offset) for r in got], 2048)
+    whole = packing.Solution([], [])
+    packing.best_fit(whole, sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 2048)
+    assert len(bins) <= len(whole.bins) * 1.01 + 1
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 101) for _ in range(300)]
