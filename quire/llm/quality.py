@@ -46,12 +46,14 @@ _REPEAT = re.compile(rb"(.)\1+", re.S)
 
 
 class _Shapes(dict):
-    """Hash bucket of a word's shape, runs counted once."""
+    """Hash bucket of a word's whole shape, runs counted once; only short words are remembered."""
 
     def __missing__(self, shape: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[shape] = xxhash.xxh3_64_intdigest(_REPEAT.sub(rb"\1", shape[:256])) % SHAPES
+        value = xxhash.xxh3_64_intdigest(_REPEAT.sub(rb"\1", shape)) % SHAPES
+        if len(shape) <= 256:
+            if len(self) >= 200_000:
+                self.clear()
+            self[shape] = value
         return value
 
 

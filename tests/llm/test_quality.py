@@ -55,6 +55,14 @@ def test_views_exchange_labels():
     assert right(both) >= right(alone) - 0.01
 
 
+def test_shapes_see_whole_words():
+    views = quality.Views()
+    head = "中文没有空格" * 100
+    shapes = [views.content(head + tail)[: quality.SHAPES] for tail in ("", "#1!", "#1?", "#1?" * 200 + "|")]
+    assert len({s.tobytes() for s in shapes}) == len(shapes)
+    assert all(len(k) <= 256 for k in views.shapes)
+
+
 def test_edges(spark, corpus):
     docs, labels, _ = corpus
     odd = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "", "", ""), (None, "x " * 100_000, "en", "a")], docs.drop("y").schema)
