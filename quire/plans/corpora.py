@@ -170,7 +170,7 @@ TURNS, PAGES = 256, 3
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tagged document for each conversation: an element for each role, an item for each turn."""
+    """A tagged document for each conversation: an element for each role, an item with the whole text for each turn."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURNS).alias("bucket"))
 
     def work(key, found):
@@ -180,7 +180,7 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         roles = {role: tree.element("P", top, title=role) for role in sorted({r["role"] or "" for r in found})}
         streams = [tree.stream(Ref(3 + k), ContentStream()) for k in range(PAGES)]
         for r in found:
-            text = PdfString((r["text"] or "").encode()[:40])
+            text = PdfString((r["text"] or "").encode())
             streams[r["turn"] % PAGES].item(roles[r["role"] or ""], lambda c: c.op("BT").op("Tj", text).op("ET"))  # noqa: B023
         sink = _Sink(3 + 2 * PAGES)
         built = tree.finish(sink)

@@ -1,12 +1,17 @@
 """Scans, sinks, relational operators and functions beyond the registered queries."""
 
+import hashlib
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import udfs
 from quire.kernel import cosjson, files, survey
+from quire.kernel.lexer import Cursor, TokenReader
 from quire.kernel.values import Name, PdfString, Ref, Stream
 from quire.operators import relational as rel
+from quire.plans import corpora
 from quire.sources import scan, sink
 from quire.streaming import watch
 from tests.kernel.build import PAGE, build_pdf, tree
@@ -107,3 +112,24 @@ def test_relational_edges(spark):
     axes = spark.createDataFrame([({"depth": "1"},), ({"depth": "2"},)], "axes map<string,string>")
     assert {(r["shape"], r["shapes"]) for r in rel.axis_coverage(axes).collect()} == {("1", 2), ("2", 2)}
     assert rel.operator_table(spark).count() == 68
+
+
+def test_conversation_files_hold_whole_texts(spark, sf, tmp_path):
+    told = spark.read.parquet(f"{sf}/conversations.parquet")
+    extra = [(-1, k, "user", t) for k, t in enumerate(["x" * 39 + "é tail", "(a\\b) \r\n" * 500, "", None, "z" * 100_000, "long " * 300])]
+    told.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")).write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    digest = lambda texts: hashlib.sha256(b"".join(sorted(hashlib.sha256(t).digest() for t in texts))).hexdigest()
+    want, got = defaultdict(list), defaultdict(list)
+    for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").collect():
+        want[r.conv_id, r.turn % corpora.PAGES].append((r.text or "").encode())
+    for r in corpora.conversation_files(spark, str(tmp_path)).collect():
+        doc = files.parse(bytes(r.content))
+        for page in range(corpora.PAGES):
+            reader = TokenReader(Cursor(doc.get(3 + corpora.PAGES + page).raw))
+            while (token := reader.take()).kind != "eof":
+                if isinstance(token.value, PdfString):
+                    got[int(r.file_id.rsplit("-", 1)[0]), page].append(token.value.data)
+    assert max(map(len, want[-1, 1])) == 100_000
+    assert {k: digest(v) for k, v in got.items()} == {k: digest(v) for k, v in want.items()}
