@@ -135,6 +135,34 @@ def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame
     return refs.join(media, F.col("ref") == F.col("digest"), "left").drop("digest").withColumnRenamed("ref", "digest")
 
 
+def interleave(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch: Scratch) -> DataFrame:
+    """(id, items): every sequence with its media resolved, one row for each row of ``sequences``.
+
+    An item is a struct of position, kind, text, digest, caption and record; a
+    record is a struct of the other columns of ``media``, null for text and for
+    a reference without payload.  Only references pass the join on the digest
+    (see :func:`resolve`).  Items meet again by row and are put in order by
+    position, so a task holds one document's items at a time; a sequence
+    without items stays, empty.
+    """
+    numbered = scratch.keep(
+        sequences.select(F.monotonically_increasing_id().alias("s_row"), F.col(f"`{id_col}`").alias("s_id"), "items"), "sequences"
+    )
+    records = media.select("digest", F.struct(*[F.col(f"`{c}`") for c in media.columns if c != "digest"]).alias("record"))
+    found = resolve(numbered, records, id_col="s_row")
+    other = numbered.select("s_row", "s_id", F.explode_outer(F.filter("items", lambda x: x["kind"] != "media")).alias("item"))
+    kind = records.schema["record"].dataType
+    own = [F.col(f"item.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")]
+    texts = other.select("s_row", "s_id", *own, F.lit(None).cast(kind).alias("record"))
+    shown = found.select(
+        "s_row", F.lit(None).cast(texts.schema["s_id"].dataType).alias("s_id"), "position", F.lit("media").alias("kind"),
+        F.lit(None).cast("string").alias("text"), "digest", "caption", "record",
+    )
+    item = F.when(F.col("position").isNotNull(), F.struct("position", "kind", "text", "digest", "caption", "record"))
+    whole = texts.unionByName(shown).groupBy("s_row").agg(F.first("s_id", ignorenulls=True).alias(id_col), F.sort_array(F.collect_list(item)).alias("items"))
+    return whole.drop("s_row")
+
+
 def payload_of(text: str | None) -> bytes:
     """UTF-8 bytes, padded with spaces to a positive multiple of the row."""
     data = (text or "").encode()
@@ -242,7 +270,8 @@ def document_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     Return (id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature), one row for each input row.  A null
     text is an empty one.  The stored media are a table in the shared folder;
-    equal texts share one record.  The caption carries n_bytes through the
+    equal texts share one record.  The columns are read from the resolved
+    sequences of :func:`interleave`.  The caption carries n_bytes through the
     page, which shows that captions stay with their media.
     """
     scratch = Scratch(spark, "media")
@@ -250,8 +279,9 @@ def document_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     records = scratch.keep(inspect_media(media), "records")
     pages = illustrated(docs, id_col=id_col, text_col=text_col)
     sequences = parse_sequences(pages, id_col=id_col, html_col="html")
-    found = resolve(sequences, records, id_col=id_col)
-    return found.select(
-        F.col(f"`{id_col}`"), F.col("caption").cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+    whole = interleave(sequences, records, id_col=id_col, scratch=scratch)
+    shown = whole.select(F.col(f"`{id_col}`"), F.filter("items", lambda x: x["kind"] == "media")[0].alias("item"))
+    return shown.select(
+        F.col(f"`{id_col}`"), F.col("item.caption").cast("long").alias("n_bytes"),
+        *[F.col(f"item.record.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")],
     )

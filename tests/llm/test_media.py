@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from quire.llm import media
+from quire.llm.common import Scratch
 
 TEXTS = [None, "", " ", "a", "x" * 192, "x" * 193, "ünï\x00cödé" * 50, "same", "same", "z" * 100_000]
 
@@ -49,3 +50,18 @@ def test_unresolved_references_keep_their_place(spark):
     records = spark.createDataFrame([("b" * 64, 5)], "digest string, size int")
     found = media.resolve(media.parse_sequences(pages, id_col="page", html_col="html"), records, id_col="page").collect()
     assert sorted((r.page, r.position, r.digest[0], r["size"]) for r in found) == [(1, 0, "a", None), (1, 2, "b", 5)]
+
+
+def test_sequences_are_whole_again(spark):
+    a, b = "a" * 64, "b" * 64
+    rows = [
+        (1, f'<p>one<img src="sha256:{b}" alt="x">two<img src="sha256:{a}">' + "".join(f'<p>{k}<img src="sha256:{b}">' for k in range(20)) + "<p>end"),
+        (1, "<p>only text"), (1, "<p>only text"), (2, None), (3, f'<img src="sha256:{b}">'), (None, "<p>no id"),
+    ]
+    pages = spark.createDataFrame(rows, "page long, html string").repartition(3)
+    records = spark.createDataFrame([(b, 5)], "digest string, size int")
+    sequences = media.parse_sequences(pages, id_col="page", html_col="html")
+    got = media.interleave(sequences, records, id_col="page", scratch=Scratch(spark, "media")).collect()
+    want = [(i, [(*x, (5,) if x[3] == b else None) for x in media.parse_html(html)]) for i, html in rows]
+    plain = [(r.page, [(*x[:5], None if x.record is None else tuple(x.record)) for x in r["items"]]) for r in got]
+    assert sorted(plain, key=repr) == sorted(want, key=repr)
