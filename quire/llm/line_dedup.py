@@ -8,6 +8,8 @@ A page that consists mostly of such lines is a copy of a page that the site
 has many times, not a page inside a frame of boilerplate: where more than
 ``most`` of its characters would go, it keeps all its lines, and copies are
 left to near-dedup.  Otherwise a large group of copies would lose its text.
+With ``copies_only`` that holds only where the page's whole text is itself
+over the ratio on its host; any other page loses every line over the ratio.
 
 The plan has no Python and never brings a host's pages together.  Lines are
 counted under (host, line) with partial sums.  The boilerplate found is at
@@ -38,6 +40,7 @@ def dedup_lines(
     text_col: str = "text",
     host_col: str = "source",
     keep_cols: tuple[str, ...] = (),
+    copies_only: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Return (id, text, n_lines, n_dropped, *keep_cols), one row for each input row.
@@ -54,7 +57,12 @@ def dedup_lines(
         F.col(f"`{host_col}`").alias("d_host"),
         *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep_cols)],
     )
-    boiler = Scratch(spark, "line-dedup").keep(
+    scratch = Scratch(spark, "line-dedup")
+    if copies_only:
+        work = _with_copies(scratch, work, ratio_percent, min_pages, broadcast_rows)
+    else:
+        work = work.withColumn("d_copy", F.lit(True))
+    boiler = scratch.keep(
         boilerplate(work, ratio_percent=ratio_percent, min_pages=min_pages).select("d_host", "h1"), "boilerplate"
     )
     if boiler.count() <= broadcast_rows:
@@ -75,7 +83,7 @@ def dedup_lines(
     whole = chars("lines")
     split = split.withColumn(
         "kept",
-        F.when(F.col("marks").isNotNull() & ((whole - chars("kept")) * 100 > whole * most_percent), F.col("lines")).otherwise(F.col("kept")),
+        F.when(F.col("d_copy") & F.col("marks").isNotNull() & ((whole - chars("kept")) * 100 > whole * most_percent), F.col("lines")).otherwise(F.col("kept")),
     )
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(size("lines"))
@@ -88,6 +96,23 @@ def dedup_lines(
     )
 
 
+def _with_copies(scratch: Scratch, work: DataFrame, ratio_percent: int, min_pages: int, broadcast_rows: int) -> DataFrame:
+    """``work`` with d_copy: whether the page's whole text is over the ratio on its host; hashes are shuffled, not texts."""
+    digest = lambda df: df.withColumn("p1", F.xxhash64("d_text")).withColumn("p2", F.xxhash64(F.lit(1), "d_text"))
+    totals = work.groupBy(F.col("d_host").alias("t_host")).agg(F.count(F.lit(1)).alias("total"))
+    pages = digest(work.select("d_host", "d_text")).groupBy("d_host", "p1", "p2").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    over = pages.join(totals, F.col("d_host").eqNullSafe(F.col("t_host"))).where(F.col("pages") * 100 > F.col("total") * ratio_percent)
+    copies = scratch.keep(over.select(F.col("d_host").alias("c_host"), F.col("p1").alias("c1"), F.col("p2").alias("c2")), "copies")
+    same = F.col("d_host").eqNullSafe(F.col("c_host")) & (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2"))
+    if copies.count() <= broadcast_rows:
+        found = digest(work).join(F.broadcast(copies), same, "left").withColumn("d_copy", F.col("c1").isNotNull())
+    else:
+        numbered = work.withColumn("p_row", F.monotonically_increasing_id())
+        hits = digest(numbered).select("p_row", "d_host", "p1", "p2").join(copies, same, "left_semi").select("p_row", F.lit(True).alias("hit"))
+        found = numbered.join(hits, "p_row", "left").withColumn("d_copy", F.coalesce("hit", F.lit(False)))
+    return found.select(*work.columns, "d_copy")
+
+
 def _distinct_lines():
     """The page's lines without surrounding spaces and blank ones, each once."""
     trimmed = F.transform(F.split("d_text", "\n", -1), lambda x: F.trim(x))

@@ -49,5 +49,16 @@ def test_against_brute_force(spark, sf, broadcast_rows):
     assert any(d for v in got.values() for *_, d in v)
 
 
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_short_pages_lose_their_frame(spark, broadcast_rows):
+    frame = "All rights are reserved by the owners of this site."
+    rows = [(i, f"own line {i}\n{frame}", "a") for i in range(50)]
+    rows += [(100 + i, "a copied page\nwith two lines", "a") for i in range(20)] + [(200, "a copied page\nand more", "a"), (201, frame, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in dedup_lines(spark, table, copies_only=True, broadcast_rows=broadcast_rows).collect()}
+    want = {i: f"own line {i}" for i in range(50)} | {100 + i: "a copied page\nwith two lines" for i in range(20)} | {200: "and more", 201: frame}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark, spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
