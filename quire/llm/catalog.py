@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe_chunks, html_extract, line_dedup, media, near_dedup, packing, quality, token_count, url_filter
 from .common import read_table
 
-TOKENIZERS = "/opt/tokenizers"
-BPE_JSON = f"{TOKENIZERS}/byte_bpe_50k.json"
-BPE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+BPE_JSON = str(public_tokenizers.path("byte_bpe_50k.json"))
+BPE_RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

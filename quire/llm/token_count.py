@@ -52,12 +52,16 @@ class Counter:
         parts = self.bpe.special_split(text) if self.bpe.special_split else [text]
         total = len(parts) // 2
         for part in parts[::2]:
-            if vocab.UNSETTLED.search(part):
-                total += len(self.bpe.whole(part))
-            else:
-                total += sum(map(self.memo.__getitem__, self.bpe.pieces(part)))
+            if not self.bpe.classes.odd(part):
+                total += self._count_plain(part)
+                continue
+            for stretch in vocab.stretches(part):
+                total += len(self.bpe.whole(stretch)) if self.bpe.classes.odd(stretch) else self._count_plain(stretch)
         return total
 
+    def _count_plain(self, text: str) -> int:
+        return sum(map(self.memo.__getitem__, self.bpe.pieces(text)))
+
 
 def count_tokens(
     spark: SparkSession, docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512

@@ -1,12 +1,13 @@
 """Byte-level BPE over public vocabulary files.
 
-Pre-tokens never cross the gap before a single space (a pre-token may start
-with a space but holds no later one unless it is white space alone), so a text
-is cut at single spaces first and each piece is looked up whole in a bounded
-memo.  Only pieces that miss are split by the pattern and merged.  The cut is
-refused, and the whole text split by the pattern, where white space stands on
-both sides of a space; texts with code points on which Unicode tables of
-different age disagree go to the tokenizer library whole.
+Splitting needs the class of a character only: letter, number, white space or
+other.  Unicode tables of different age disagree on some code points, so the
+class of every code point outside a few settled ranges is asked from both
+splitters once, by probes, and remembered.  Where they agree, and that is
+nearly everywhere, the merges of the rank file give the library's ids.  A text
+with a code point on which they disagree is cut at single spaces between
+settled characters, which are boundaries for any splitter, and only the
+stretches that hold such a code point go to the library.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from functools import lru_cache
 import numpy as np
 import regex
 import tiktoken
+from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
-#: Fixed value: the split pattern of the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: Code points outside these ranges changed class between Unicode versions.
+#: Code points outside these ranges are probed.
 UNSETTLED = re.compile("[^\x01-՗‐-⁤₠-€、-ヾ一-龥가-힣]")
+#: The gaps at which every splitter cuts: one space between settled characters that aren't white space.
+SAFE_GAP = re.compile(r"(?<=[!-~¡-՗一-龥가-힣]) (?=[!-~¡-՗一-龥가-힣])")
 #: White space around a single space, where pieces can't be cut apart.
 WIDE_GAP = re.compile(r"\s (?:\s|\Z)")
 
 MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
+#: One character of each class, in the order of their numbers.
+PROBES = ("a", "1", "!", "\n")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -81,27 +84,74 @@ class Memo(dict):
         return value
 
 
+class Classes:
+    """Whether two splitters agree on the class of a code point; each is asked once.
+
+    A splitter here tells from a two-character string whether both characters
+    are in one pre-token.
+    """
+
+    def __init__(self, *joins):
+        self.joins = joins
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, char: str) -> bool:
+        agreed = self.known.get(char)
+        if agreed is None:
+            told = {tuple(join(p + char) for p in PROBES) for join in self.joins}
+            agreed = self.known[char] = len(told) == 1 and sum(next(iter(told))) == 1
+        return agreed
+
+    def odd(self, text: str) -> bool:
+        """Whether the text holds a code point on which the splitters differ."""
+        if not UNSETTLED.search(text):
+            return False
+        return not all(map(self, set(UNSETTLED.findall(text))))
+
+
+def regex_joins(split):
+    return lambda pair: len(split(pair)) == 1
+
+
+def library_joins(tokenizer: Tokenizer):
+    return lambda pair: len(tokenizer.pre_tokenizer.pre_tokenize_str(pair)) == 1
+
+
+def rank_joins():
+    """The splitter of the rank library, through a vocabulary in which every probe merges with the next byte."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for p in PROBES:
+        for b in (0, *range(128, 256)):
+            ranks[p.encode() + bytes([b])] = len(ranks)
+    core = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return lambda pair: any(i > 255 for i in core.encode_ordinary(pair))
+
+
+def stretches(text: str) -> list[str]:
+    """The text cut before every safe gap."""
+    first, *rest = SAFE_GAP.split(text)
+    return [first, *[" " + x for x in rest]]
+
+
 class Bpe:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    ``whole`` is the library's own function from a text to its ids;
+    ``classes`` compares its splitter with the one used here.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], special: dict[str, int], whole):
+    def __init__(self, ranks: dict[bytes, int], special: dict[str, int], whole, classes: Classes):
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.split = regex.compile(PATTERN).findall
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self.whole = whole
-        self.memo = Memo(self._merge_piece)
+        self.classes = classes
         self.tokens = {i: token for token, i in ranks.items()}
 
     def merge(self, pre_token: str) -> list[int]:
         return self.core.encode_single_piece(pre_token.encode())
 
-    def _merge_piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for pre_token in self.split(piece):
-            ids += self.merge(pre_token)
-        return np.array(ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """Special strings become their ids where the vocabulary file has any."""
         if self.special_split is None:
@@ -114,11 +164,15 @@ class Bpe:
         )
 
     def encode_plain(self, text: str) -> bytes:
-        if UNSETTLED.search(text):
-            return np.array(self.whole(text), "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+        if not self.classes.odd(text):
+            return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
+        ids: list[int] = []
+        for part in stretches(text):
+            ids += self.whole(part) if self.classes.odd(part) else self.core.encode_ordinary(part)
+        return np.array(ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
+        """Parts whose pre-tokens are those of the text; not for texts with odd code points."""
         if not text:
             return []
         if WIDE_GAP.search(text):
@@ -141,7 +195,8 @@ def json_bpe(path: str) -> Bpe:
     ranks, special = ranks_of_json(path)
     tokenizer = library(path)
     plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return Bpe(ranks, special, plain)
+    classes = Classes(library_joins(tokenizer), rank_joins(), regex_joins(regex.compile(PATTERN).findall))
+    return Bpe(ranks, special, plain, classes)
 
 
 @lru_cache(maxsize=4)
@@ -149,4 +204,4 @@ def rank_bpe(path: str) -> Bpe:
     """As ``tiktoken`` encodes ordinary text."""
     ranks = ranks_of_file(path)
     encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Bpe(ranks, {}, encoding.encode_ordinary)
+    return Bpe(ranks, {}, encoding.encode_ordinary, Classes(rank_joins(), regex_joins(regex.compile(PATTERN).findall)))

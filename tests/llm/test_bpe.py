@@ -13,7 +13,8 @@ EDGES = [
     None, "", " ", "  ", "   ", "a", " a", "a ", "a  ", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "\n\n  x", "x\n ",
     "it's we'll THEY'RE 'tis", "<|endoftext|>", "x<|endoftext|> y", "ünïcödé ß 漢字 かな 한글 🙂🙃", "\x00\x01\x1c \x1d\x1f  a",
     "a  　 b  c", "1234 5٣٤ ²³ ½", "ԙԚ՘֋ x", "😀" * 40, "z" * 3000, " " * 900 + "x", "!?" * 700,
-    "the the the", "a\tb\t\tc \t d",
+    "the the the", "a\tb\t\tc \t d", "漢字　かな，。" * 300, "مرحبا بالعالم שלום नमस्ते สวัสดี " * 200, "🙂 emoji 🧑‍🚀 text 🫠 " * 300,
+    "a\u180eb \u200b c\ufeffd \U0001e4d0\U0001e4d1 new letters \U00011f02\U00011f50 x 1\U0001e4f0 " * 40,
 ]
 
 
@@ -80,6 +81,30 @@ def test_digests(spark, table, texts):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_most_texts_are_stitched(spark, sf):
+    rows = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bpe = vocab.rank_bpe(BPE_RANKS)
+    cuts = [bpe_chunks.cuts_of(bpe.split, t, bpe_chunks.CHUNK_CHARS, bpe_chunks.OVERLAP) for t in rows]
+    long = [c for t, c in zip(rows, cuts) if len(t) > bpe_chunks.CHUNK_CHARS + bpe_chunks.OVERLAP]
+    assert len(long) * 2 > len(rows) and all(len(c) > 2 for c in long)
+    for text, own in zip(rows, cuts):
+        ends = set(bpe_chunks.ends_of(bpe.split, text, 0))
+        assert ends.issuperset(own)
+
+
+def test_classes_of_code_points():
+    import unicodedata
+
+    classes = vocab.rank_bpe(BPE_RANKS).classes
+    shown = [chr(c) for c in (0, 0x600, 0x5D0, 0x1F600, 0x3000, 0xFF0C, 0x2028, 0x661, 0xB2, 0xE01)]
+    assert all(map(classes, shown))
+    split = vocab.rank_bpe(BPE_RANKS).split
+    for char in shown:
+        joined = [len(split(p + char)) == 1 for p in vocab.PROBES]
+        kind = "L" if unicodedata.category(char)[0] == "L" else "N" if unicodedata.category(char)[0] == "N" else "Z" if char.isspace() else "O"
+        assert joined == [kind == k for k in "LNOZ"], hex(ord(char))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_count.count_tokens(spark, none, BPE_JSON).count() == 0
