@@ -3,8 +3,8 @@
 Items are dealt at random to cells of bounded size.  Each cell is solved by
 several islands, each a task with a population of its own.  A crossover
 injects whole well-filled bins of one parent into the other, removes the
-receiving bins that hold an injected item twice, and best-fits the displaced
-items.  After an epoch each island sends its elite to the next island of the
+receiving bins that hold an injected item twice, exchanges displaced items for
+smaller ones where that fills a bin better, and best-fits the rest.  After an epoch each island sends its elite to the next island of the
 cell.  The best island's bins stand, but for those with room left: their items
 form the cells of the next level, until one cell holds all that is left.  So
 the number of sequences approaches the total length over the capacity,
@@ -19,6 +19,7 @@ fall geometrically and the levels end, whatever the lengths.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -111,49 +112,94 @@ def best_fit(solution: Solution, items: list[int], sizes: list[int], capacity: i
 
 
 def crossover(giver: Solution, taker: Solution, sizes: list[int], capacity: int, rng: random.Random) -> Solution:
+    """Whole well-filled bins of the giver in the taker; what they displace, and a few bins' items, is placed anew."""
     least = (1 - WELL_FILLED) * capacity
     injected = [b for b, r in zip(giver.bins, giver.room) if r <= least and rng.random() < 0.5]
     inside = {i for b in injected for i in b}
     child = Solution([list(b) for b in injected], [capacity - sum(sizes[i] for i in b) for b in injected])
     displaced: list[int] = []
-    worst = sorted(range(len(taker.bins)), key=taker.room.__getitem__, reverse=True)[: 2 + len(taker.bins) // 50]
-    reopened = set(worst)
+    some = 2 + len(taker.bins) // 50
+    reopened = set(sorted(range(len(taker.bins)), key=taker.room.__getitem__, reverse=True)[:some])
+    reopened.update(rng.randrange(len(taker.bins)) for _ in range(some))
     for k, b in enumerate(taker.bins):
         if k in reopened or not inside.isdisjoint(b):
             displaced += [i for i in b if i not in inside]
         else:
             child.bins.append(list(b))
             child.room.append(taker.room[k])
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    best_fit(child, displaced, sizes, capacity)
+    displaced = exchange(child, displaced, sizes)
+    best_fit(child, displaced[::-1], sizes, capacity)
     return child
 
 
-def evolve(sizes: list[int], capacity: int, elites: list[Solution], seed: int, generations: int) -> Solution:
-    """The fittest solution after some generations; fewest bins first."""
+def exchange(solution: Solution, displaced: list[int], sizes: list[int]) -> list[int]:
+    """Swap one item of a bin for one or two displaced ones that fill it better; the items displaced then, smallest first."""
+    pool = sorted(displaced, key=sizes.__getitem__)
+    held = [sizes[i] for i in pool]
+    for own, b in enumerate(solution.bins):
+        room = solution.room[own]
+        if not room or not held or held[0] > room + max(map(sizes.__getitem__, b), default=0):
+            continue
+        best, chosen = 0, None
+        for at, item in enumerate(b):
+            size = sizes[item]
+            most = size + room
+            k = bisect_right(held, most) - 1
+            if k >= 0 and held[k] - size > best:
+                best, chosen = held[k] - size, (at, (k,))
+            low, high = 0, k
+            while low < high:  # two items that together come nearest to the room
+                both = held[low] + held[high]
+                if both > most:
+                    high -= 1
+                    continue
+                if both - size > best:
+                    best, chosen = both - size, (at, (low, high))
+                low += 1
+            if best == room:
+                break
+        if chosen:
+            at, ks = chosen
+            gone = b[at]
+            b[at : at + 1] = [pool[k] for k in ks]
+            for k in reversed(ks):
+                del pool[k], held[k]
+            k = bisect_right(held, sizes[gone])
+            pool.insert(k, gone)
+            held.insert(k, sizes[gone])
+            solution.room[own] = room - best
+    return pool
+
+
+def evolve(sizes: list[int], capacity: int, elites: list[Solution], seed: int, generations: int, *, decreasing: bool = True) -> Solution:
+    """The fittest solution after some generations: fewest bins, then the room left in fewest bins.
+
+    The first people are the elites, best-fit decreasing if ``decreasing``,
+    and best fits of disturbed orders.  Evolution ends early only where every
+    bin but one is full, which nothing can better.
+    """
     rng = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
     rank = lambda s: (len(s.bins), -s.fitness(capacity))
     people = list(elites)
     falling = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
     while len(people) < POPULATION:
         order = list(falling)
-        if people:  # the first is best-fit decreasing; others disturb its order
+        if people or not decreasing:
             order.sort(key=lambda i: -sizes[i] * rng.uniform(0.8, 1))
         fresh = Solution([], [])
         best_fit(fresh, order, sizes, capacity)
         people.append(fresh)
-        if len(fresh.bins) == least:
-            return fresh
     people.sort(key=rank)
     for _ in range(generations):
-        if len(people[0].bins) == least:
+        if sum(map(bool, people[0].room)) <= 1:
             break
         giver, taker = rng.sample(people, 2)
         people.append(crossover(giver, taker, sizes, capacity, rng))
         people.append(crossover(people[0], taker, sizes, capacity, rng))
-        people.sort(key=rank)
-        del people[POPULATION:]
+        ranked = {rank(s): s for s in reversed(people)}  # equally fit people are one
+        people = [ranked[r] for r in sorted(ranked)[:POPULATION]]
+        if len(people) == 1:
+            people.append(crossover(people[0], people[0], sizes, capacity, rng))
     return people[0]
 
 
@@ -198,7 +244,7 @@ def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
         def run(table: pa.Table) -> pa.Table:
             cell, island = table["cell"][0].as_py(), table["island"][0].as_py()
             items, sizes, elites = _population(table, capacity)
-            best = evolve(sizes, capacity, elites, hash((level, cell, island, epoch)), GENERATIONS)
+            best = evolve(sizes, capacity, elites, hash((level, cell, island, epoch)), GENERATIONS, decreasing=island == 0)
             bins = np.empty(len(items), np.int32)
             for k, b in enumerate(best.bins):
                 bins[b] = k

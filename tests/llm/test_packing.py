@@ -76,6 +76,29 @@ def test_crossover_keeps_every_item_once():
     assert min(child.room) >= 0
 
 
+def best_fit_decreasing(sizes, capacity):
+    whole = packing.Solution([], [])
+    packing.best_fit(whole, sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
+    return whole
+
+
+@pytest.mark.parametrize("decreasing", [True, False])
+def test_crossover_beats_best_fit_decreasing(decreasing):
+    rng = random.Random(3)
+    sizes = []
+    for _ in range(200):  # three items fill a bin exactly, and best-fit decreasing doesn't find them
+        a = rng.randrange(780, 1000)
+        b = rng.randrange(512, (2048 - a) // 2 + 1)
+        sizes += [a, b, 2048 - a - b]
+    plain = len(best_fit_decreasing(sizes, 2048).bins)
+    first = packing.evolve(sizes, 2048, [], 1, 0, decreasing=decreasing)
+    found = packing.evolve(sizes, 2048, [], 1, packing.GENERATIONS, decreasing=decreasing)
+    assert plain > 220 and len(first.bins) > 220
+    assert len(found.bins) <= 210
+    assert sorted(i for b in found.bins for i in b) == list(range(600))
+    assert found.room == [2048 - sum(sizes[i] for i in b) for b in found.bins] and min(found.room) >= 0
+
+
 def test_evolution_is_no_worse_than_its_elite():
     rng = random.Random(4)
     sizes = [rng.randrange(200, 700) for _ in range(200)]
