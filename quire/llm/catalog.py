@@ -100,16 +100,12 @@ counts AS (
   WHERE line <> '' GROUP BY source, line),
 marks AS (
   SELECT source, list(line) AS marks FROM counts JOIN totals USING (source)
-  WHERE pages >= 5 AND pages * 100 > total * 5 GROUP BY source),
+  WHERE pages >= 2 AND pages * 100 > total * 5 GROUP BY source),
 cut AS (
   SELECT p.*, CASE WHEN marks IS NULL THEN lines
               ELSE list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(marks, trim(x))) END AS kept
-  FROM p LEFT JOIN marks USING (source)),
-sized AS (
-  SELECT *, coalesce(list_sum(list_transform(lines, lambda x: length(trim(x)))), 0) AS whole,
-         coalesce(list_sum(list_transform(kept, lambda x: length(trim(x)))), 0) AS part FROM cut),
-final AS (SELECT *, CASE WHEN (whole - part) * 100 > whole * 50 THEN lines ELSE kept END AS stay FROM sized)
-SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(stay, chr(10)) END AS text,
-       coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(stay), 0) AS n_dropped
-FROM final""",
+  FROM p LEFT JOIN marks USING (source))
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
+       coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped
+FROM cut""",
 }

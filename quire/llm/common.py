@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+#: Rows that may be broadcast: small tables whole, or the heaviest keys of a large one.
+BROADCAST_ROWS = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only in local mode.
@@ -57,6 +60,30 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hot_join(
+    scratch: Scratch, big: DataFrame, small: DataFrame, on: dict[str, str], weight: str, *, how: str = "inner", rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join ``big`` with ``small`` (a written table, one row for each key), however many rows of ``big`` share a key.
+
+    ``on`` maps columns of ``big`` to those of ``small``; nulls are equal.
+    ``weight``, a column of ``small``, bounds the rows of ``big`` with that
+    key.  Up to ``rows`` rows are broadcast whole.  Of a larger table the
+    heaviest ``rows`` are broadcast, and only rows of ``big`` with other keys
+    are shuffled, none of which has more than (sum of weights / rows) rows.
+    ``how`` is inner, left or left_semi.
+    """
+    same = F.lit(True)
+    for left, right in on.items():
+        same = same & F.col(left).eqNullSafe(F.col(right))
+    if small.count() <= rows:
+        return big.join(F.broadcast(small), same, how)
+    bar = small.select(weight).orderBy(F.desc(weight)).limit(rows + 1).agg(F.min(weight)).first()[0]
+    heavy, light = small.where(F.col(weight) > bar), small.where(F.col(weight) <= bar)
+    big = scratch.keep(big, "hot")
+    other = big.join(F.broadcast(heavy.select(*on.values())), same, "left_anti").join(light, same, how)
+    return big.join(F.broadcast(heavy), same, "inner" if how == "left" else how).unionByName(other)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
