@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines; n_chars follows the text."""
-    cut = line_dedup.dedup_lines(spark, docs, keep_cols=("lang", "source"), copies_only=True)
+    cut = line_dedup.dedup_lines(spark, docs, keep_cols=("lang", "source"), spare_copies=True)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
