@@ -61,7 +61,8 @@ class Scratch:
 
 
 def hot_join(
-    scratch: Scratch, big: DataFrame, small: DataFrame, on: dict[str, str], weight: str, *, how: str = "inner", rows: int = BROADCAST_ROWS
+    scratch: Scratch, big: DataFrame, small: DataFrame, on: dict[str, str], weight: str, *, how: str = "inner", rows: int = BROADCAST_ROWS,
+    cheap: bool = False,
 ) -> DataFrame:
     """Join ``big`` with ``small`` (a written table, one row for each key), however many rows of ``big`` share a key.
 
@@ -70,8 +71,9 @@ def hot_join(
     key.  Up to ``rows`` rows are broadcast whole.  Of a larger table the
     heaviest ``rows`` are broadcast, and only rows of ``big`` with other keys
     are shuffled, none of which has more than (sum of weights / rows) rows.
-    ``how`` is inner, left or left_semi.
-    """
+    ``how`` is inner, left or left_semi.  ``big`` is then read twice, and is
+    written before unless it is ``cheap``.
+    """
     same = F.lit(True)
     for left, right in on.items():
         same = same & F.col(left).eqNullSafe(F.col(right))
@@ -79,7 +81,7 @@ def hot_join(
         return big.join(F.broadcast(small), same, how)
     bar = small.select(weight).orderBy(F.desc(weight)).limit(rows + 1).agg(F.min(weight)).first()[0]
     heavy, light = small.where(F.col(weight) > bar), small.where(F.col(weight) <= bar)
-    big = scratch.keep(big, "hot")
+    big = big if cheap else scratch.keep(big, "hot")
     other = big.join(F.broadcast(heavy.select(*on.values())), same, "left_anti").join(light, same, how)
     return big.join(F.broadcast(heavy), same, "inner" if how == "left" else how).unionByName(other)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_join
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     hooks each node to its smallest smaller neighbour, follows the pointers to
     the roots by joining the pointers with themselves, and keeps the links
     between different roots.  Rounds grow with the logarithm of the size of a
-    component; all steps are joins and minima, so a node with very many links
-    is combined before it is shuffled.
+    component.  A root that very many nodes point to is broadcast with its
+    pointer and never gathers them in one task.
     """
     edges = scratch.keep(
         links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), "edges"
@@ -25,9 +25,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     while True:
         parent = scratch.keep(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label")), "parent")
         while True:
-            up = parent.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+            up = _pointers(scratch, parent, parent)
             jumped = scratch.keep(
-                parent.join(up, F.col("label") == F.col("up"), "left").select(
+                hot_join(scratch, parent, up, {"label": "up"}, "held", how="left", cheap=True).select(
                     "node", F.coalesce("higher", "label").alias("label"), F.col("higher").isNotNull().alias("moved")
                 ),
                 "jumped",
@@ -38,23 +38,27 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         if mapping is None:
             mapping = parent
         else:
-            up = parent.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+            up = _pointers(scratch, mapping, parent)
             mapping = scratch.keep(
-                mapping.join(up, F.col("label") == F.col("up"), "left")
+                hot_join(scratch, mapping, up, {"label": "up"}, "held", how="left", cheap=True)
                 .select("node", F.coalesce("higher", "label").alias("label"))
                 .unionByName(parent),
                 "mapping",
             )
-        low = parent.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
-        high = parent.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+        written = edges
+        for own in ("lo", "hi"):
+            ends = _pointers(scratch, written.select(F.col(own).alias("label")), parent)
+            edges = hot_join(scratch, edges, ends, {own: "up"}, "held", how="left", cheap=own == "lo")
+            edges = edges.withColumn(own, F.coalesce("higher", own)).select("lo", "hi")
         edges = scratch.keep(
-            edges.join(low, F.col("lo") == F.col("n1"), "left")
-            .join(high, F.col("hi") == F.col("n2"), "left")
-            .select(F.coalesce("l1", "lo").alias("x"), F.coalesce("l2", "hi").alias("y"))
-            .where("x <> y")
-            .select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-            .distinct(),
-            "edges",
+            edges.where("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges"
         )
         if edges.isEmpty():
             return mapping
+
+
+def _pointers(scratch: Scratch, nodes: DataFrame, parent: DataFrame) -> DataFrame:
+    """(up, higher, held): the pointers of those roots that rows of ``nodes`` name in ``label``, and how many do."""
+    held = nodes.groupBy(F.col("label").alias("h")).agg(F.count(F.lit(1)).alias("held"))
+    up = parent.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+    return scratch.keep(up.join(held, F.col("up") == F.col("h")).drop("h"), "pointers")

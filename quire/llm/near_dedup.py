@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import Scratch, arrow_rows, partitions, pick, to_batch
+from .common import Scratch, arrow_rows, hot_join, partitions, pick, to_batch
 from .components import components
 
 BANDS, ROWS = 32, 4
+#: Rows of a bucket that a task looks through for its leader, and pairs of a node that a task confirms.
+PART_ROWS, PAIR_ROWS = 1024, 1024
 #: Rows of one block in step 4.
 BLOCK_ROWS = 512
 #: Coordinates of the signatures in step 4, a byte each, and how far below the wanted similarity their agreement may be.
@@ -71,17 +73,19 @@ def near_duplicates(
         ),
         "nodes",
     )
-    buckets = scratch.keep(_buckets(nodes), "buckets")
+    buckets = scratch.keep(_buckets(scratch, nodes), "buckets")
     members = scratch.keep(_members(work, buckets, width), "members")
 
-    links = scratch.keep(_confirm(_leader_pairs(buckets), members, percent), "links")
+    pairs = scratch.keep(_leader_pairs(scratch, buckets), "pairs")
+    links = scratch.keep(_confirm(scratch, pairs, members, percent), "links")
+    scratch.drop(pairs)
     labels = components(scratch, links)
     for best in (True, False):
-        apart = scratch.keep(_apart(buckets, labels), "apart")
+        apart = scratch.keep(_apart(scratch, buckets, labels), "apart")
         if apart.isEmpty():
             break
         pairs = scratch.keep(_block_pairs(apart, members, percent, best), "pairs")
-        more = scratch.keep(_confirm(pairs, members, percent), "links")
+        more = scratch.keep(_confirm(scratch, pairs, members, percent), "links")
         scratch.drop(apart, pairs)
         if more.isEmpty():
             continue
@@ -121,11 +125,12 @@ def _describe(work: DataFrame, width: int) -> DataFrame:
     return arrow_rows(work, "id long, n long, high long, low long, keys array<long>", rows)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     """(key, band, node, n, size) of every bucket with at least two nodes."""
     dealt = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return dealt.join(sizes, "key").select("key", "band", "node", "n", "size")
+    sizes = dealt.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = scratch.keep(sizes, "sizes")
+    return hot_join(scratch, dealt, sizes, {"key": "s_key"}, "size", cheap=True).select("key", "band", "node", "n", "size")
 
 
 def _members(work: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
@@ -153,22 +158,41 @@ def _members(work: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
     return arrow_rows(texts, "node long, n long, sign binary, shingles binary", rows)
 
 
-def _leader_pairs(buckets: DataFrame) -> DataFrame:
+def _leader_pairs(scratch: Scratch, buckets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): every bucket's leader and its other nodes."""
     met = buckets.groupBy("node").agg(F.sum("size").alias("met")).withColumnRenamed("node", "m")
-    scored = buckets.join(met, F.col("node") == F.col("m")).select("key", "node", "n", "met")
-    leaders = scored.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"), "n")).alias("top"))
-    pairs = buckets.join(leaders, "key").select(
+    scored = buckets.join(met, F.col("node") == F.col("m"))
+    spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART_ROWS))  # a large bucket's rows meet in two steps
+    best = F.max(F.struct("met", (-F.col("node")).alias("minus"), "n", "size")).alias("top")
+    part = scratch.keep(scored.groupBy("key", spread.alias("salt")).agg(best), "parts")
+    large = part.where(F.col("top.size") > PART_ROWS).groupBy("key").agg(F.max("top").alias("top"))
+    leaders = part.where(F.col("top.size") <= PART_ROWS).select("key", "top").unionByName(large)
+    leaders = leaders.select(F.col("key").alias("l_key"), "top", F.col("top.size").alias("l_size"))
+    pairs = hot_join(scratch, buckets, leaders, {"key": "l_key"}, "l_size", cheap=True).select(
         (-F.col("top.minus")).alias("a"), F.col("node").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b")
     )
     return pairs.where("a <> b").distinct()
 
 
-def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) that hold on the full sets, as (a, b)."""
+def _confirm(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b), a written table, that hold on the full sets, as (a, b).
+
+    A node in very many pairs is dealt with its set to a task for every
+    ``PAIR_ROWS`` of them.
+    """
     fair = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    left = members.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    right = members.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.where(fair).select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+    both = pairs.where(fair).select("a", "b")
+    parts = F.coalesce(F.ceil(F.col("met") / PAIR_ROWS), F.lit(1))
+    most = {}
+    for own, other in (("b", "a"), ("a", "b")):
+        met = pairs.where(fair).groupBy(F.col(own).alias("o")).agg(F.count(F.lit(1)).alias("met"))
+        most[own] = scratch.keep(met.where(F.col("met") > PAIR_ROWS), f"most-{own}")
+        salted = hot_join(scratch, both, most[own], {own: "o"}, "met", how="left")
+        both = salted.withColumn(f"salt_{own}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("o", "met")
+    for own in ("b", "a"):
+        sets = hot_join(scratch, members.select(F.col("node").alias("m"), "shingles"), most[own], {"m": "o"}, "met", how="left", cheap=True)
+        sets = sets.select("m", F.col("shingles").alias(f"set_{own}"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+        both = both.join(sets, (F.col(own) == F.col("m")) & (F.col(f"salt_{own}") == F.col("part"))).drop("m", "part", f"salt_{own}")
 
     def rows():
         def one(row):
@@ -178,10 +202,10 @@ def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
         return one
 
-    return arrow_rows(both, "a long, b long", rows)
+    return arrow_rows(both.select("a", "b", "set_a", "set_b"), "a long, b long", rows)
 
 
-def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(scratch: Scratch, buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets whose nodes aren't in one component, with what step 4 needs.
 
     Buckets of two are left out: their only pair was the leader's.
@@ -200,9 +224,11 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
             F.max(F.struct("rows", (-F.col("label")).alias("minus"))).alias("top"),
         )
         .where("labels > 1")
-        .select("key", "size", (F.col("size") - F.col("top.rows")).alias("minor"), (-F.col("top.minus")).alias("main"))
+        .select(F.col("key").alias("p_key"), "size", (F.col("size") - F.col("top.rows")).alias("minor"), (-F.col("top.minus")).alias("main"))
     )
-    return named.join(per_key, "key").withColumn("is_minor", F.col("label") != F.col("main")).drop("main")
+    per_key = scratch.keep(per_key, "mixed")
+    joined = hot_join(scratch, named, per_key, {"key": "p_key"}, "size")
+    return joined.withColumn("is_minor", F.col("label") != F.col("main")).drop("main", "p_key")
 
 
 def _block_pairs(apart: DataFrame, members: DataFrame, percent: int, best: bool) -> DataFrame:
