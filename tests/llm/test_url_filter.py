@@ -1,6 +1,7 @@
 import duckdb
+import pytest
 
-from quire.llm import url_filter
+from quire.llm import common, url_filter
 
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/De/1", "http://a.net", "http://a.net/", "http://net/x", "http://xnet/x",
@@ -11,9 +12,15 @@ URLS = [
 URLS += [f"http://casino-win.x.com/en/{i}" for i in range(30)] + [f"http://casino-win.x.com/fr/{i}.html" for i in range(30)]
 URLS += [f"http://blog.x.com/tag/word{chr(97 + i % 26)}{chr(97 + i // 26)}/page" for i in range(60)] + ["http://blog.x.com/about"] * 40
 URLS += [f"http://s.example.com/{lang}/{i}" for lang in ("de", "en", "es") for i in range(9)]
+#: Branches that differ from the fifth segment on, and hundreds of segments.
+URLS += [f"http://deep.casino.io/2024/05/12/section/slug{i}/x" for i in range(30)] + ["http://deep.io/" + "a/" * 15 + "b"]
+URLS += [f"http://d.example.com/{lang}/b/c/d/{kind}/{i}" for lang in ("de", "en") for kind in ("spam", "news") for i in range(8)]
+URLS += ["http://dup.net/de/a"] * 3 + ["http://long.org/" + "y" * 70_000 + "/z"]
 
 
-def test_equals_sql(spark, tmp_path):
+@pytest.mark.parametrize("rows", [50_000, 2])
+def test_equals_sql(spark, rows, monkeypatch):
+    monkeypatch.setattr(common.hot_join, "__kwdefaults__", {**common.hot_join.__kwdefaults__, "rows": rows})
     table = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     got = {r.page_id: tuple(r) for r in url_filter.judge(spark, table).collect()}
     assert len(got) == len(URLS)
@@ -41,4 +48,6 @@ def test_cases(spark):
     assert got["http://blog.x.com/tag/wordaa/page"].template == "/tag/{*}/page"
     assert got["http://blog.x.com/about"].template == "/about"
     assert got["http://s.example.com/en/1"].verdict == "allow"
+    assert got["http://deep.casino.io/2024/05/12/section/slug3/x"].template == "/{n}/{n}/{n}/section/{*}/x"
+    assert got["http://deep.io/" + "a/" * 15 + "b"].template == "/" + "a/" * 15 + "b"
     assert url_filter.judge(spark, table.limit(0)).count() == 0
