@@ -1,15 +1,17 @@
 """Quality classifier by co-training on two views.
 
-One classifier sees the text's content (shapes of its words and a few ratios),
-the other the page's metadata (source, language, length, layout).  Both start
-from the same labelled sample.  In each round each view labels what it is sure
-of in an unlabelled pool, judged by its probability after calibration on
-held-out labels, and hands those rows to the other view.  At the end each view
-is calibrated again and every document is scored by both: their evidence adds
-up, beyond the prior that they share.
-
-Fitting sees bounded samples (``labelled_rows`` and ``pool_rows``, chosen by a
-hash of the id); scoring sees every document whole.
+One classifier sees the text's content (its words, their shapes and a few
+ratios), the other the page's metadata (source, language, length, layout).
+Both start from the same labelled sample.  In each round each view scores
+every unlabelled document, judged by its probability after calibration on
+held-out labels, and hands some of those that it is sure of to the other view:
+a uniform sample of all of them, for each class.  At the end each view is
+calibrated again and every document is scored by both: their evidence adds up,
+beyond the prior that they share.
+
+The fit is bounded (``labelled_rows``, chosen by a hash of the id, and what is
+handed over); rounds and scoring see every document whole.  Feature vectors
+are computed once and kept in the shared folder for the rounds.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, to_batch
+from .common import Scratch, pick, to_batch
+from .minhash import mix64
 
 LABELLED_ROWS = 8_000
-POOL_ROWS = 8_000
 ROUNDS = 4
 #: Calibrated probability from which a view is sure, and rows that it may hand over in a round for each class.
 SURE, HANDED = 0.97, 400
@@ -33,7 +35,7 @@ HELD_OUT = 0.25
 #: Documents below this combined probability of good quality are rejected.
 KEEP = 0.5
 
-SHAPES = 256
+SHAPES, WORDS = 256, 256
 CONTENT_STATS = 10
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 META_STATS = 3
@@ -57,28 +59,42 @@ class _Shapes(dict):
         return value
 
 
+class _Words(dict):
+    """Hash bucket of a word without regard to case; only short words are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word, seed=1) % WORDS
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Views:
     """Feature vectors of a document: content, metadata."""
 
     def __init__(self):
-        self.shapes = _Shapes()
+        self.shapes, self.words = _Shapes(), _Words()
 
     def content(self, text: str) -> np.ndarray:
-        out = np.zeros(SHAPES + CONTENT_STATS)
+        out = np.zeros(SHAPES + WORDS + CONTENT_STATS)
         data = text.encode()
         shaped = data.translate(_SHAPE)
         words = shaped.split()
         n = len(words)
         if not n:
-            out[SHAPES] = 1
+            out[SHAPES + WORDS] = 1
             return out
-        buckets = np.fromiter(map(self.shapes.__getitem__, words), np.int64, n)
-        out[:SHAPES] = np.sqrt(np.bincount(buckets, minlength=SHAPES) / n)
+        own = data.lower().split()
+        for at, size, buckets, found in ((0, SHAPES, self.shapes, words), (SHAPES, WORDS, self.words, own)):
+            hashed = np.fromiter(map(buckets.__getitem__, found), np.int64, n)
+            out[at : at + size] = np.sqrt(np.bincount(hashed, minlength=size) / n)
         size = len(data)
         letters, upper, digits = (shaped.count(c) for c in (b"x", b"X", b"d"))
-        distinct = len(set(data.split()))
+        distinct = len(set(own))
         marks = size - letters - upper - digits - sum(map(data.count, (b" ", b"\n", b"\t", b"\r")))
-        out[SHAPES:] = (
+        out[SHAPES + WORDS :] = (
             0, upper / size, digits / size, 4 * marks / size, min(1, size / n / 20), distinct / n, distinct / n**0.5 / 20,
             min(1, data.count(b"|") / n), min(1, data.count(b"!") / n), min(1, np.log1p(n) / 12),
         )
@@ -94,14 +110,16 @@ class Views:
         return out
 
 
-def _descend(x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, penalty: np.ndarray, towards: np.ndarray, rounds: int) -> np.ndarray:
+def _descend(
+    x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, penalty: np.ndarray, towards: np.ndarray, rounds: int, start: np.ndarray | None = None
+) -> np.ndarray:
     """Penalised logistic regression by Newton steps that are halved until the loss falls."""
 
     def loss(w):
         z = x @ w
         return (weigh * (np.logaddexp(0, z) - targets * z)).sum() + 0.5 * (penalty * (w - towards) ** 2).sum()
 
-    w = towards.copy()
+    w = towards.copy() if start is None else start
     held = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -116,18 +134,18 @@ def _descend(x: np.ndarray, targets: np.ndarray, weigh: np.ndarray, penalty: np.
         else:
             break
         w, gain, held = w - step, held - tried, tried
-        if gain < 1e-9 * (1 + abs(held)):
+        if gain < 1e-7 * (1 + abs(held)):
             break
     return w
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights and, last, the intercept; both classes weigh the same."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights and, last, the intercept; both classes weigh the same.  ``start`` has weights to begin from."""
     x = np.hstack([x, np.ones((len(x), 1))])
     balance = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y <= 0).sum()))
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
-    return _descend(x, y, balance, penalty, np.zeros(x.shape[1]), rounds)
+    return _descend(x, y, balance, penalty, np.zeros(x.shape[1]), rounds, start)
 
 
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -155,76 +173,153 @@ class CoTrained:
         return content + meta - self.prior
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, rounds: int = ROUNDS) -> CoTrained | None:
+class ArrayPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views = views
+
+    def sure(self, model: CoTrained, taken: list[set], turn: int, handed: int) -> list[tuple]:
+        """(view, label, key, content, meta) of at most ``handed`` rows, drawn from all that a view is sure of, for each view and label."""
+        out = []
+        found = _sure_rows(model, self.views, np.arange(len(self.views[0])), taken, turn)
+        for view, label, rows, draws in found:
+            for i in rows[np.argsort(draws, kind="stable")][:handed].tolist():
+                out.append((view, label, i, self.views[0][i], self.views[1][i]))
+        return out
+
+
+class StoredPool:
+    """Unlabelled rows as a written table (id, content, meta); all are scored in every round, few are collected."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sure(self, model: CoTrained, taken: list[set], turn: int, handed: int) -> list[tuple]:
+        """As :meth:`ArrayPool.sure`.
+
+        The first pass counts the sure rows; the second brings those whose
+        draw is below twice the wanted share, so what is collected is bounded
+        whatever the size of the table.
+        """
+        shared = self.rows.sparkSession.sparkContext.broadcast((model, taken))
+
+        def find(bars: dict | None):
+            def run(batches):
+                model, taken = shared.value
+                for batch in batches:
+                    ids = batch.column(0).to_numpy()
+                    views = [_stacked(batch.column(k).to_pylist()) for k in (1, 2)]
+                    out = []
+                    for view, label, rows, draws in _sure_rows(model, views, ids, taken, turn):
+                        if bars is None:
+                            out.append((view, label, len(rows), None, None, None, None))
+                            continue
+                        for i, draw in zip(rows.tolist(), draws.tolist()):
+                            if draw < bars.get((view, label), 0):
+                                out.append((view, label, 1, int(ids[i]), draw, batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+                    yield to_batch(out, schema)
+
+            return run
+
+        names = "view int, label int, n long, id long, draw double, content binary, meta binary"
+        schema = pa.schema([(n.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[n.split()[1]]) for n in names.split(", ")])
+        counts = self.rows.mapInArrow(find(None), names).groupBy("view", "label").agg(F.sum("n").alias("n")).collect()
+        bars = {(r["view"], r["label"]): 2 * handed / r["n"] for r in counts if r["n"]}
+        drawn = self.rows.mapInArrow(find(bars), names)
+        drawn = drawn.groupBy("view", "label", "id").agg(F.min("draw").alias("draw"), F.min(F.struct("content", "meta")).alias("row"))  # an id counts once
+        found: dict[tuple, list] = {}
+        for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["id"])):
+            found.setdefault((r["view"], r["label"]), []).append((r["id"], *(_stacked([r["row"][k]])[0] for k in ("content", "meta"))))
+        return [(view, label, *row) for (view, label), rows in sorted(found.items()) for row in rows[:handed]]
+
+
+def _stacked(vectors: list) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, vectors)), np.float16).reshape(len(vectors), -1).astype(np.float64)
+
+
+def _sure_rows(model: CoTrained, views: list[np.ndarray], keys: np.ndarray, taken: list[set], turn: int):
+    """(view, label, rows, draws): rows that a view is sure of and hasn't handed over, each with a uniform draw."""
+    if not len(keys):
+        return
+    for view, z in enumerate(model.view_logits(views)):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        draws = mix64(keys.astype(np.int64).view(np.uint64) ^ mix64(np.array([2 * turn + view + 1], np.uint64))) / 2.0**64
+        fresh = ~np.isin(keys, np.fromiter(taken[1 - view], np.int64, len(taken[1 - view])))
+        for label, sure in ((1, p), (0, 1 - p)):
+            rows = np.flatnonzero((sure >= SURE) & fresh)
+            yield view, label, rows, draws[rows]
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: ArrayPool | StoredPool, *, rounds: int = ROUNDS) -> CoTrained | None:
     """Fit both views; None where the labels don't hold both classes on either side of the split."""
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
     if min((y[held] > 0).sum(), (y[held] <= 0).sum(), (y[~held] > 0).sum(), (y[~held] <= 0).sum()) < 2:
         return None
     prior = float(np.log(y.sum() / (len(y) - y.sum())))
     x = [v[~held] for v in labelled]
-    gained: list[dict[int, int]] = [{}, {}]  # pool row to pseudo-label, for each view
-    n = len(pool[0])
-
-    def fitted(k: int):
-        rows = np.fromiter(gained[k], np.int64, len(gained[k]))
-        extra = np.fromiter(gained[k].values(), np.float64, len(gained[k]))
-        w = fit_logistic(np.concatenate([x[k], pool[k][rows]]), np.concatenate([y[~held], extra]))
-        return w, calibrate(logits(labelled[k][held], w), y[held])
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if n else 0):
-        before = [len(g) for g in gained]
-        for k, (w, (a, b)) in enumerate(models):
-            p = 1 / (1 + np.exp(-np.clip(a * logits(pool[k], w) + b, -30, 30)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                fresh = [int(i) for i in order[sure[order] >= SURE] if int(i) not in gained[1 - k]][:HANDED]
-                gained[1 - k].update(dict.fromkeys(fresh, label))
-        if before == [len(g) for g in gained]:
+    gained: list[dict[int, tuple]] = [{}, {}]  # key to features and pseudo-label, for each view
+
+    def fitted(start: list) -> CoTrained:
+        weights, scales = [], []
+        for k in (0, 1):
+            extra = list(gained[k].values())
+            rows = np.concatenate([x[k], np.stack([f for f, _ in extra])]) if extra else x[k]
+            weights.append(fit_logistic(rows, np.concatenate([y[~held], [float(label) for _, label in extra]]), start[k]))
+            scales.append(calibrate(logits(labelled[k][held], weights[k]), y[held]))
+        return CoTrained(weights, scales, prior)
+
+    model = fitted([None, None])
+    for turn in range(rounds):
+        handed = pool.sure(model, [set(g) for g in gained], turn, HANDED)
+        if not handed:
             break
-        models = [fitted(0), fitted(1)]
-    return CoTrained([w for w, _ in models], [c for _, c in models], prior)
+        for view, label, key, *features in handed:
+            gained[1 - view][key] = (features[1 - view], label)
+        model = fitted(model.weights)
+    return model
 
 
-def _pairs(work: DataFrame, ids: DataFrame) -> list[tuple]:
-    """(label or None, content, metadata) of the sampled rows; bounded by the sample sizes."""
-    found = work.join(F.broadcast(ids), F.col("id") == F.col("s_id")).select("text", "source", "lang", "y", "id")
+def features(work: DataFrame) -> DataFrame:
+    """(id, content, meta) of rows (id, text, source, lang), in half precision."""
 
     def run(batches):
         views = Views()
-        schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("content", pa.binary()), ("meta", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("content", pa.binary()), ("meta", pa.binary())])
         for batch in batches:
             out = []
-            for text, source, lang, y, key in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                text = text or ""
-                content, meta = views.content(text), views.metadata(text, source, lang)
-                out.append((key, y, content.astype(np.float32).tobytes(), meta.astype(np.float32).tobytes()))
+            for key, text, source, lang in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                made = views.content(text or ""), views.metadata(text or "", source, lang)
+                out.append((key, *(v.astype(np.float16).tobytes() for v in made)))
             yield to_batch(out, schema)
 
-    rows = found.mapInArrow(run, "id long, y int, content binary, meta binary").collect()
-    return sorted((r["id"], -1 if r["y"] is None else r["y"], bytes(r["content"]), bytes(r["meta"])) for r in rows)
+    return work.select("id", "text", "source", "lang").mapInArrow(run, "id long, content binary, meta binary")
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS,
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality",
 ) -> CoTrained | None:
-    """Co-train on at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents."""
-    work = pick(docs, id=id_col, text=text_col, source=source_col, lang=lang_col)
+    """Co-train on at most ``labelled_rows`` labelled documents and all others; a repeated id is one document here."""
+    scratch = Scratch(spark, "quality")
     known = pick(labels, s_id=id_col, y=label_col).where("s_id is not null and y is not null")
     known = known.select("s_id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
     known = known.orderBy(F.xxhash64("s_id"), "s_id", "y").limit(labelled_rows)
-    unknown = work.select(F.col("id").alias("s_id")).where("s_id is not null").join(F.broadcast(known.select(F.col("s_id").alias("k"))), F.col("s_id") == F.col("k"), "left_anti")
-    unknown = unknown.orderBy(F.xxhash64(F.lit(1), "s_id"), "s_id").limit(pool_rows).select("s_id", F.lit(None).cast("int").alias("y"))
-    rows = _pairs(work, known.unionByName(unknown))
-    stack = lambda k, some: np.stack([np.frombuffer(r[k], np.float32).astype(np.float64) for r in some])
-    taught, pool = [r for r in rows if r[1] >= 0], [r for r in rows if r[1] < 0]
+    if known.isEmpty():
+        return None
+    known = scratch.keep(known, "known")
+    work = pick(docs, id=id_col, text=text_col, source=source_col, lang=lang_col).where("id is not null")
+    rows = scratch.keep(features(work), "features")
+    taught = rows.join(F.broadcast(known), F.col("id") == F.col("s_id"))  # at most labelled_rows ids
+    taught = taught.groupBy("id", "y").agg(F.min(F.struct("content", "meta")).alias("row")).collect()
     if not taught:
         return None
-    taught.sort(key=lambda r: xxhash.xxh3_64_intdigest(r[0].to_bytes(8, "little", signed=True)))
-    views = [stack(2, taught), stack(3, taught)]
-    empty = [np.empty((0, v.shape[1])) for v in views]
-    return co_train(views, np.array([float(r[1]) for r in taught]), [stack(2, pool), stack(3, pool)] if pool else empty)
+    taught.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r["id"].to_bytes(8, "little", signed=True)), r["y"]))
+    views = [_stacked([r["row"][k] for r in taught]) for k in ("content", "meta")]
+    other = rows.join(F.broadcast(known.select("s_id")), F.col("id") == F.col("s_id"), "left_anti")
+    model = co_train(views, np.array([float(r["y"]) for r in taught]), StoredPool(other))
+    scratch.drop(rows, known)
+    return model
 
 
 def score(

@@ -46,7 +46,7 @@ def test_views_exchange_labels():
     clear = np.stack([y * 4 + rng.normal(size=3000)], 1)
     noisy = np.stack([y * 2 + rng.normal(size=3000) * 1.2], 1)
     few = slice(0, 200)
-    views, pool = [clear[few], noisy[few]], [clear[200:2000], noisy[200:2000]]
+    views, pool = [clear[few], noisy[few]], quality.ArrayPool([clear[200:2000], noisy[200:2000]])
     alone = quality.co_train(views, y[few], pool, rounds=0)
     both = quality.co_train(views, y[few], pool)
     test = [clear[2000:], noisy[2000:]]
@@ -60,7 +60,35 @@ def test_shapes_see_whole_words():
     head = "中文没有空格" * 100
     shapes = [views.content(head + tail)[: quality.SHAPES] for tail in ("", "#1!", "#1?", "#1?" * 200 + "|")]
     assert len({s.tobytes() for s in shapes}) == len(shapes)
-    assert all(len(k) <= 256 for k in views.shapes)
+    assert all(len(k) <= 256 for k in views.shapes) and all(len(k) <= 64 for k in views.words)
+    a, b = (views.content(f"river {w} house")[quality.SHAPES :][: quality.WORDS] for w in ("window", "morning"))
+    assert (a != b).any() and np.array_equal(a, views.content("RIVER Window house")[quality.SHAPES :][: quality.WORDS])
+
+
+def test_all_unlabelled_rows_are_asked(spark):
+    rng = np.random.default_rng(1)
+    y = (rng.random(4000) < 0.5).astype(float)
+    views = [np.stack([y * 4 - 2 + rng.normal(size=4000) * 0.3], 1).astype(np.float16).astype(float) for _ in range(2)]
+    model = quality.co_train([v[:400] for v in views], y[:400], quality.ArrayPool([v[:0] for v in views]))
+    rows = [(i, *(v[i].astype(np.float16).tobytes() for v in views)) for i in range(4000)] + [(7, *(v[7].astype(np.float16).tobytes() for v in views))] * 50
+    table = spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, a, b in rows], "id long, content binary, meta binary")
+    taken = [{1, 2, 3}, set()]
+    stored = quality.StoredPool(table).sure(model, taken, 0, 300)
+    arrays = quality.ArrayPool(views).sure(model, taken, 0, 300)
+    assert sorted(r[:3] for r in stored) == sorted(r[:3] for r in arrays)
+    for view, label in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        ids = [r[2] for r in stored if r[:2] == (view, label)]
+        assert len(ids) == len(set(ids)) == 300 and max(ids) > 3500 and min(ids) < 500
+        assert np.mean(y[ids] == label) > 0.95
+    assert not {r[2] for r in stored if r[0] == 1} & {1, 2, 3}
+
+
+def test_accuracy_on_labels_that_no_fit_saw(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.keep for r in quality.classify(spark, docs, labels.where("xxhash64(doc_id) % 10 < 6")).collect()}
+    unseen = [(r.doc_id, r.quality) for r in labels.where("xxhash64(doc_id) % 10 >= 6").collect()]
+    assert len(unseen) > 80
+    assert np.mean([got[i] == bool(q) for i, q in unseen]) > 0.97
 
 
 def test_edges(spark, corpus):
