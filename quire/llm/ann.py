@@ -5,14 +5,17 @@ inner product becomes least distance by one extra coordinate,
 sqrt(M - |x|^2) with M the largest squared norm.  A vector near the border of
 clusters is replicated to several lists.  Centroids are searched by a graph in
 memory, and a query reads every list whose centroid is within a ratio of the
-nearest one's distance; there is no cap on lists.
+nearest one's distance; there is no cap on lists read.  The ratio is measured,
+unless given: it is the least one that finds ``RECALL`` of the true neighbours
+among the sampled vectors.  In the whole table neighbours are nearer than in
+the sample, so recall there is at least about that.
 
 Equal vectors are one entry: the index holds each distinct vector once with
 its k + 1 smallest ids, which is all that k results can need, since ties go to
 the smaller id.  So a vector that a third of all rows repeat is one entry, and
 equal queries are searched once.  Lists are dealt to shards of bounded size,
 and a list larger than a shard is split, so a task reads one shard and one
-block of queries.
+block of the queries that read it.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import centroids, minhash
-from .common import Scratch, pick
+from .common import Scratch, hot_join, pick
 
 LIST_ROWS = 400
 MAX_LISTS = 4096
@@ -35,8 +38,8 @@ QUERY_ROWS = 4096
 #: Border vectors go to lists up to this much farther than their nearest, if no chosen centroid is nearer to that list's.
 BORDER = 1.03
 REPLICAS = 4
-#: A query reads lists whose centroids are up to this much farther than its nearest.
-RATIO = 1.2
+#: Share of true neighbours that the measured ratio finds in the sample, and sampled queries that it is measured on.
+RECALL, MEASURED = 0.95, 512
 #: Points searched at once in the graph.
 BATCH = 512
 
@@ -49,25 +52,30 @@ def search(
     every: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    ratio: float = RATIO,
+    ratio: float | None = None,
 ) -> DataFrame:
     """Return (query_id, rank, id, score) for the rows whose id ``every`` divides.
 
     Scores are inner products in double precision of the vectors as stored.
     Candidates are all rows but the query's own id; ranks start at 1, nearest
     first, ties to the smaller id; fewer than k candidates give fewer rows.
-    Null vectors, vectors with null or non-finite components, zero vectors,
-    rows without id, and vectors of another length than the most frequent one
-    take no part.  Rows repeating an id and its vector count once.
+    Null vectors, vectors with null or non-finite components, zero vectors and
+    rows without id take no part; nor do pairs whose product isn't finite.
+    Vectors of different length have no product: each length is searched on
+    its own.  Rows repeating an id and its vector count once.
     """
     scratch = Scratch(spark, "ann")
     table = scratch.keep(_valid(pick(vectors, id=id_col, vector=vector_col)), "vectors")
-    shapes = table.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"))
-    shape = shapes.orderBy(F.desc("n"), "dim").limit(1).collect()
-    schema = f"query_id long, rank int, `{id_col}` long, score double"
-    if not shape:
-        return spark.createDataFrame([], schema)
-    dim, top = shape[0]["dim"], shape[0]["norm"]
+    shapes = table.groupBy("dim").agg(F.max("norm").alias("norm")).orderBy("dim").collect()
+    found = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    for shape in shapes:
+        found = found.unionByName(_search(scratch, table, shape["dim"], shape["norm"], k, every, id_col, ratio))
+    return found
+
+
+def _search(scratch: Scratch, table: DataFrame, dim: int, top: float, k: int, every: int, id_col: str, ratio: float | None) -> DataFrame:
+    """The search among vectors of one length, the longest of which has the norm ``top``."""
+    spark = scratch.spark
     rows = table.where(F.col("dim") == dim).select("id", "high", "low", "vector")
     entries = scratch.keep(
         rows.groupBy("high", "low").agg(F.min("id").alias("entry"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "entries"
@@ -81,13 +89,15 @@ def search(
     total = entries.count()
     lists = min(MAX_LISTS, max(1, math.ceil(total / LIST_ROWS)))
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
-    graph = spark.sparkContext.broadcast(centroids.Graph(centroids.balanced_centroids(lifted(sample, dim, top), lists)))
+    index = centroids.Graph(centroids.balanced_centroids(lifted(sample, dim, top), lists))
+    if ratio is None:
+        ratio = measured_ratio(index, sample, dim, top, k)
+    graph = spark.sparkContext.broadcast(index)
 
     postings = scratch.keep(_assign(entries.select("entry", "vector"), graph, dim, top), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, parts = deal(sizes)
-    blocks = max(1, math.ceil(members.select("q").distinct().count() / QUERY_ROWS))
-    found = _score(postings, queries, graph, first, parts, blocks, dim, k, ratio)
+    found = _score(scratch, postings, queries, graph, first, parts, dim, top, k, ratio)
     best = found.groupBy("q", "entry").agg(F.max("score").alias("score"))
     best = _ranked(best, ["q"], [F.desc("score"), "entry"], k + 1)
 
@@ -135,7 +145,8 @@ def _valid(work: DataFrame) -> DataFrame:
                 if len(x) and not item.null_count and np.isfinite(x).all() and x.any():
                     x = x.astype(np.float64) + 0.0  # no negative zeros, so equal vectors have equal bytes
                     high, low = minhash.set_digest(x)
-                    out.append((key, len(x), float(x @ x), high, low, x.tobytes()))
+                    peak = np.abs(x).max()
+                    out.append((key, len(x), float(np.sqrt(((x / peak) ** 2).sum()) * peak), high, low, x.tobytes()))
             names = ("id", "dim", "norm", "high", "low", "vector")
             types = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=list(names))
@@ -148,9 +159,38 @@ def stacked(vectors, dim: int) -> np.ndarray:
 
 
 def lifted(vectors, dim: int, top: float) -> np.ndarray:
-    """Vectors with the coordinate that turns inner products into distances."""
-    x = stacked(vectors, dim)
-    return np.hstack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]])
+    """Vectors over the largest norm, with the coordinate that turns inner products into distances."""
+    x = stacked(vectors, dim) / top
+    return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]])
+
+
+def asking(vectors, dim: int, top: float) -> np.ndarray:
+    """Queries in the space of :func:`lifted`."""
+    x = stacked(vectors, dim) / top
+    return np.hstack([x, np.zeros((len(x), 1))])
+
+
+def measured_ratio(index: centroids.Graph, sample, dim: int, top: float, k: int) -> float:
+    """The ratio that reaches ``RECALL`` of the k nearest within the sample, measured on its first vectors."""
+    asked = sample[:MEASURED]
+    products = asking(asked, dim, top)[:, :-1] @ (stacked(sample, dim) / top).T
+    products[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    most = min(k, len(sample) - 1)
+    if most < 1:
+        return 1.0
+    near = np.argpartition(-products, most - 1, axis=1)[:, :most]
+    away = centroids.distances(asking(asked, dim, top), index.centers)
+    away /= np.maximum(away.min(1, keepdims=True), 1e-300)
+    lists = {}
+    needed = []
+    wanted = np.unique(near)
+    for a in range(0, len(wanted), BATCH):
+        part = wanted[a : a + BATCH]
+        met = index.search(lifted([sample[i] for i in part], dim, top), BORDER)
+        lists.update(zip(part.tolist(), lists_of(index, met)))
+    for row, found in zip(away, near.tolist()):
+        needed += [row[lists[i]].min() for i in found]
+    return float(np.quantile(needed, RECALL)) * 1.0001
 
 
 def lists_of(graph: centroids.Graph, point_distances: np.ndarray) -> list[list[int]]:
@@ -208,13 +248,16 @@ def deal(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
     return first, parts
 
 
-def _score(postings, queries, graph, first, parts, blocks: int, dim: int, k: int, ratio: float) -> DataFrame:
-    """(q, entry, score): the k + 1 best of every query in every shard that it reads."""
+def _score(scratch, postings, queries, graph, first, parts, dim: int, top: float, k: int, ratio: float) -> DataFrame:
+    """(q, entry, score): the k + 1 best of every query in every shard that it reads.
+
+    A shard is copied once for every ``QUERY_ROWS`` queries that read it, and
+    not at all if none does.
+    """
     lookup = postings.sparkSession.createDataFrame([(j, first[j], parts[j]) for j in sorted(first)], "j int, first int, parts int")
     placed = postings.join(F.broadcast(lookup), F.col("list") == F.col("j"))  # at most MAX_LISTS rows
     data = placed.select(
         (F.col("first") + F.pmod(F.xxhash64("entry"), "parts")).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         F.lit(False).alias("asks"), F.col("entry").alias("key"), "vector", F.array("list").alias("lists"),
     )
 
@@ -223,20 +266,27 @@ def _score(postings, queries, graph, first, parts, blocks: int, dim: int, k: int
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
                 keys, vectors = part.column(0).to_pylist(), part.column(1).to_pylist()
-                x = stacked(vectors, dim)
-                met = graph.value.search(np.hstack([x, np.zeros((len(x), 1))]), ratio)
+                met = graph.value.search(asking(vectors, dim, top), ratio)
                 out = []
                 for key, vector, row in zip(keys, vectors, met):
                     shards: dict[int, list[int]] = {}
                     for j in np.flatnonzero(row <= row.min() * ratio).tolist():
                         for s in range(first[j], first[j] + parts[j]) if j in first else ():
                             shards.setdefault(s, []).append(j)
-                    out += [(s, key % blocks, True, key, vector, js) for s, js in shards.items()]
-                types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                names = ["shard", "block", "asks", "key", "vector", "lists"]
+                    out += [(s, True, key, vector, js) for s, js in shards.items()]
+                types = (pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+                names = ["shard", "asks", "key", "vector", "lists"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    asked = queries.select("q", "vector").mapInArrow(route, "shard int, block int, asks boolean, key long, vector binary, lists array<int>")
+    routed = queries.select("q", "vector").mapInArrow(route, "shard int, asks boolean, key long, vector binary, lists array<int>")
+    routed = scratch.keep(routed, "asked")
+    asks = scratch.keep(routed.groupBy(F.col("shard").alias("s")).agg(F.count(F.lit(1)).alias("n_asks")), "asks")
+    blocks = F.ceil(F.col("n_asks") / QUERY_ROWS).cast("int")
+    columns = ["shard", "block", "asks", "key", "vector", "lists"]
+    placed = hot_join(scratch, data, asks, {"shard": "s"}, "n_asks", cheap=True)
+    data = placed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(columns)
+    asked = hot_join(scratch, routed, asks, {"shard": "s"}, "n_asks", cheap=True)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).select(columns)
 
     def score(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
