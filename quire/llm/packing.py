@@ -127,18 +127,21 @@ def crossover(giver: Solution, taker: Solution, sizes: list[int], capacity: int,
         else:
             child.bins.append(list(b))
             child.room.append(taker.room[k])
-    displaced = exchange(child, displaced, sizes)
+    displaced = exchange(child, displaced, sizes, least)
     best_fit(child, displaced[::-1], sizes, capacity)
     return child
 
 
-def exchange(solution: Solution, displaced: list[int], sizes: list[int]) -> list[int]:
-    """Swap one item of a bin for one or two displaced ones that fill it better; the items displaced then, smallest first."""
+def exchange(solution: Solution, displaced: list[int], sizes: list[int], least: float) -> list[int]:
+    """Swap one item of a bin with more room than ``least`` for one or two displaced ones that fill it better.
+
+    The items displaced then come back, smallest first.
+    """
     pool = sorted(displaced, key=sizes.__getitem__)
     held = [sizes[i] for i in pool]
     for own, b in enumerate(solution.bins):
         room = solution.room[own]
-        if not room or not held or held[0] > room + max(map(sizes.__getitem__, b), default=0):
+        if room <= least or not held or held[0] > room + max(map(sizes.__getitem__, b)):
             continue
         best, chosen = 0, None
         for at, item in enumerate(b):
