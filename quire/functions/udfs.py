@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernel import cosjson, filters, fonts, writer
+from ..kernel import cosjson, filters, fonts, lexer, writer
 from ..kernel import files as kernel
+from ..kernel import inflate as inflater
 from ..kernel.lexer import Cursor, TokenReader
 from ..kernel.values import Name, PdfError, PdfString, Stream, kind_of
 
@@ -24,7 +26,7 @@ def _arrow(function: Callable[..., Any], kind: T.DataType, arrow_type: pa.DataTy
         for values in zip(*(c.to_pylist() for c in columns)):
             try:
                 out.append(None if None in values else function(*values))
-            except PdfError:
+            except Exception:  # noqa: BLE001 - a value that can't be read is null
                 out.append(None)
         return pa.array(out, arrow_type)
 
@@ -44,7 +46,16 @@ def _arrow(function: Callable[..., Any], kind: T.DataType, arrow_type: pa.DataTy
 def _entry(cos: str, key: str) -> str | None:
     value = cosjson.loads(cos)
     value = value.dict if isinstance(value, Stream) else value
-    found = value.get(key) if isinstance(value, dict) else None
+    return _shown(value.get(key)) if isinstance(value, dict) else None
+
+
+def _entries(cos: str) -> list[tuple[str, str | None]] | None:
+    value = cosjson.loads(cos)
+    value = value.dict if isinstance(value, Stream) else value
+    return [(str(k), _shown(v)) for k, v in value.items()] if isinstance(value, dict) else None
+
+
+def _shown(found: Any) -> str | None:
     if found is None:
         return None
     if isinstance(found, (Name, bool, int)):
@@ -65,6 +76,37 @@ def _bytes(cos: str) -> bytes | None:
     return filters.decode_stream(value) if isinstance(value, Stream) else None
 
 
+def _raw(cos: str) -> bytes | None:
+    value = cosjson.loads(cos)
+    return value.raw if isinstance(value, Stream) else None
+
+
+def _inflate_differs(data: bytes) -> bool:
+    return inflater.differs(data, filters.inflate)
+
+
+def _encoding_refusal(name: str) -> str | None:
+    try:
+        filters.encode_stream(b"", name)
+    except PdfError as error:
+        return str(error)
+    return None
+
+
+#: Syntactic classes of bytes, and the sum of hexadecimal digits' values.
+CLASSES = ("whitespace", "newline", "delimiter", "regular", "digit", "octal", "hex", "boundary", "value")
+_PREDICATES = (
+    lexer.is_whitespace, lexer.is_newline, lexer.is_delimiter, lexer.is_regular, lexer.is_digit, lexer.is_octal_digit, lexer.is_hex_digit,
+    lexer.is_token_boundary, lambda b: lexer.hex_value(b) if lexer.is_hex_digit(b) else 0,
+)
+_WEIGHTS = np.array([[int(p(b)) for b in range(256)] for p in _PREDICATES], np.int64)
+
+
+def _byte_classes(data: bytes) -> dict[str, int]:
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    return dict(zip(CLASSES, (_WEIGHTS @ counts).tolist()))
+
+
 def _real(value: float) -> str:
     return writer.format_real(value)
 
@@ -83,10 +125,22 @@ def _inflate(data: bytes) -> bytes:
 
 #: A dictionary's entry as text; null where it is missing or null.
 cos_entry = _arrow(_entry, T.StringType(), pa.string())
+#: All entries of a dictionary as a map of text; one reading of the column for all of them.
+cos_entries = _arrow(_entries, T.MapType(T.StringType(), T.StringType()), pa.map_(pa.string(), pa.string()))
 #: A dictionary's string entry as UTF-8 text.
 cos_text = _arrow(_text, T.StringType(), pa.string())
 #: A string's bytes, or a stream's decoded data.
 cos_bytes = _arrow(_bytes, T.BinaryType(), pa.binary())
+#: A stream's bytes as they stand.
+cos_raw = _arrow(_raw, T.BinaryType(), pa.binary())
+#: Whether the library and the second inflater disagree.
+inflate_differs = _arrow(_inflate_differs, T.BooleanType(), pa.bool_())
+#: Why a filter isn't written; null if it is.
+encoding_refusal = _arrow(_encoding_refusal, T.StringType(), pa.string())
+#: Counts of a text's bytes by class.
+byte_classes = _arrow(
+    _byte_classes, T.StructType([T.StructField(c, T.LongType()) for c in CLASSES]), pa.struct([(c, pa.int64()) for c in CLASSES])
+)
 #: A double as a PDF real.
 format_real = _arrow(_real, T.StringType(), pa.string())
 #: A font program's format, null where it is none that can be embedded.

@@ -16,8 +16,8 @@ class Editor:
 
     def __init__(self, document: Document | None, version: str):
         self.document, self.version = document, version
-        self.changed: dict[tuple[int, int], Any] = {}
-        self.deleted: set[tuple[int, int]] = set()
+        self._changed: dict[tuple[int, int], Any] = {}
+        self._deleted: set[tuple[int, int]] = set()
         self._set: dict[str, Any] = {}
         self._removed: set[str] = set()
         self._referenced: set[int] | None = None
@@ -34,8 +34,8 @@ class Editor:
     def create(cls, version: str = "1.7") -> Editor:
         """A new document: the catalog is object 1, the page tree's root object 2."""
         made = cls(None, version)
-        made.changed[1, 0] = {"Type": Name("Catalog"), "Pages": Ref(2)}
-        made.changed[2, 0] = {"Type": Name("Pages"), "Kids": [], "Count": 0}
+        made._changed[1, 0] = {"Type": Name("Catalog"), "Pages": Ref(2)}
+        made._changed[2, 0] = {"Type": Name("Pages"), "Kids": [], "Count": 0}
         made._set["Root"] = Ref(1)
         return made
 
@@ -43,10 +43,10 @@ class Editor:
 
     def get(self, number: int, generation: int = 0) -> Any:
         key = (number, generation)
-        if key in self.deleted:
+        if key in self._deleted:
             return None
-        if key in self.changed:
-            return self.changed[key]
+        if key in self._changed:
+            return self._changed[key]
         return self.document.get(*key) if self.document else None
 
     def resolve(self, value: Any) -> Any:
@@ -74,14 +74,14 @@ class Editor:
     def set(self, number: int, value: Any, generation: int = 0) -> None:
         if number < 1:
             raise WriteError("object numbers begin at 1")
-        self.deleted.discard((number, generation))
-        self.changed[number, generation] = value
+        self._deleted.discard((number, generation))
+        self._changed[number, generation] = value
         if self._referenced is not None:
             self._referenced.update(r.number for r in references(value))
 
     def delete(self, number: int, generation: int = 0) -> None:
-        self.changed.pop((number, generation), None)
-        self.deleted.add((number, generation))
+        self._changed.pop((number, generation), None)
+        self._deleted.add((number, generation))
 
     def allocate(self, value: Any) -> Ref:
         """A reference to a new object: the first number that nothing defines or refers to."""
@@ -89,10 +89,10 @@ class Editor:
             self._referenced = {r.number for r in references(self.trailer())}
             for _, _, own in self.document.collect() if self.document else ():
                 self._referenced.update(r.number for r in references(own))
-            for own in self.changed.values():
+            for own in self._changed.values():
                 self._referenced.update(r.number for r in references(own))
         known = set(self.document.entries) if self.document else {0}
-        taken = self._referenced | known | {n for n, _ in self.changed} | {n for n, _ in self.deleted}
+        taken = self._referenced | known | {n for n, _ in self._changed} | {n for n, _ in self._deleted}
         number = max([1, self.document.size if self.document else 3, *(n + 1 for n in known)])
         while number in taken:
             number += 1
@@ -111,9 +111,17 @@ class Editor:
         self._set.pop(key, None)
         self._removed.add(key)
 
+    def changed(self) -> list[tuple[int, int, Any]]:
+        """(number, generation, value) of what was set or allocated, by number."""
+        return [(n, g, v) for (n, g), v in sorted(self._changed.items(), key=lambda item: item[0])]
+
+    def deleted(self) -> list[tuple[int, int]]:
+        """(number, generation of the free entry) of what was deleted, by number."""
+        return [(n, g + 1) for n, g in sorted(self._deleted)]
+
     @property
     def dirty(self) -> bool:
-        return bool(self.changed or self.deleted or self._removed or self._set)
+        return bool(self._changed or self._deleted or self._removed or self._set)
 
     def _settle_page_tree(self) -> None:
         """Refuse a broken page tree; make wrong counts right, each under its own generation."""
@@ -128,15 +136,13 @@ class Editor:
         if self.document:
             self.document.require_history()
         self._settle_page_tree()
-        gone = {n for n, _ in self.deleted}
+        gone = {n for n, _ in self._deleted}
         merged = {n: (n, g, v) for n, g, v in (self.document.collect() if self.document else ()) if n not in gone}
-        merged |= {n: (n, g, v) for (n, g), v in sorted(self.changed.items())}
+        merged |= {n: (n, g, v) for n, g, v in self.changed()}
         return writer.write_file(list(merged.values()), self.trailer(), version=version or self.version, xref=xref, object_streams=object_streams)
 
     def append_update(self, *, xref: writer.Form = "table") -> bytes:
         if self.document is None:
             raise WriteError("a created document has no file to update")
         self._settle_page_tree()
-        objects = [(n, g, v) for (n, g), v in sorted(self.changed.items())]
-        deleted = [(n, g + 1) for n, g in sorted(self.deleted)]
-        return writer.append_update_to(self.document, objects, deleted, xref=xref, trailer=self.trailer())
+        return writer.append_update_to(self.document, self.changed(), self.deleted(), xref=xref, trailer=self.trailer())

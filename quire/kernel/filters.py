@@ -103,6 +103,31 @@ def paeth(left: int, up: int, corner: int) -> int:
     return min((left, up, corner), key=lambda x: abs(target - x))
 
 
+def png_rows(data: bytes, columns: int, tags: tuple[int, ...] = (2,)) -> bytes:
+    """PNG rows of 8-bit samples, one byte a pixel; row k is filtered by ``tags[k % len(tags)]``, the last is filled with zeros."""
+    rows = np.frombuffer(data + b"\0" * (-len(data) % columns), np.uint8).reshape(-1, columns)
+    left, above = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, 1:], above[1:] = rows[:, :-1], rows[:-1]
+    corner = np.zeros_like(rows)
+    corner[1:, 1:] = rows[:-1, :-1]
+    a, b, c = (x.astype(np.int16) for x in (left, above, corner))
+    far = [np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)]  # how far a + b - c is from a, b and c
+    nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), a, np.where(far[1] <= far[2], b, c))
+    guesses = (np.zeros_like(a), a, b, (a + b) // 2, nearest)
+    tag = np.array(tags, np.uint8)[np.arange(len(rows)) % len(tags)]
+    guess = np.choose(tag[:, None], guesses).astype(np.uint8) if len(rows) else rows
+    return np.hstack([tag[:, None], rows - guess]).tobytes()
+
+
+def tiff_rows(data: bytes, columns: int, colors: int) -> bytes:
+    """Rows of 8-bit samples as differences along each component; the last is filled with zeros."""
+    row = columns * colors
+    pixels = np.frombuffer(data + b"\0" * (-len(data) % row), np.uint8).reshape(-1, columns, colors)
+    out = pixels.copy()
+    out[:, 1:] -= pixels[:, :-1]
+    return out.tobytes()
+
+
 def decode_stream(stream: Stream, resolve=lambda value: value) -> bytes:
     """Undo a stream's filters in order."""
     names = resolve(get(stream.dict, "Filter"))

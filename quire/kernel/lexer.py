@@ -10,6 +10,8 @@ from typing import Any, NamedTuple
 from .values import Keyword, LexError, Name, ParseError, PdfString, Ref, Stream
 
 EOF = -1
+#: Digits of the longest integer that is read, and the highest object number that a reference may name.
+MOST_DIGITS, HIGHEST = 4000, 2**63 - 1
 #: The white-space and delimiter bytes.
 WHITESPACE = frozenset(b"\x00\t\n\x0c\r ")
 DELIMITERS = frozenset(b"()<>[]{}/%")
@@ -149,6 +151,8 @@ def next_token(cursor: Cursor) -> Token:
             raise LexError("a number without digits", start)
         cursor.pos = found.end()
         if found[1] is None and found[2] is None:
+            if len(found[0]) > MOST_DIGITS:
+                raise LexError(f"an integer of more than {MOST_DIGITS} digits", start)
             return Token("integer", int(found[0]), start)
         return Token("real", float(found[0]), start)
     cursor.pos = _REGULAR.match(cursor.data, start).end()
@@ -285,7 +289,7 @@ def _number_or_reference(token: Token, reader: TokenReader) -> Any:
         return token.value  # what follows is somebody else's error
     if not is_ref:
         return token.value
-    if token.value < 1 or second.value < 0:
+    if not 1 <= token.value <= HIGHEST or not 0 <= second.value < 2**31:
         raise ParseError(f"{token.value} {second.value} R is no reference", token.offset)
     reader.take()
     reader.take()

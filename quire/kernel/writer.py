@@ -240,19 +240,32 @@ def append_update(
     ``deleted`` holds (number, generation of the free entry).  Objects stand
     in the order given.
     """
+    begin = b"" if original.endswith((b"\n", b"\r")) else b"\n"
+    tail, _ = update_tail(
+        len(original) + len(begin) - origin, objects, deleted, previous=previous, previous_size=previous_size, trailer=trailer, xref=xref,
+        stream_number=stream_number,
+    )
+    updated = original + begin + tail
+    assert_original_intact(original, updated)
+    return updated
+
+
+def update_tail(
+    at: int, objects: list[tuple[int, int, Any]], deleted: list[tuple[int, int]], *, previous: int, previous_size: int,
+    trailer: dict[str, Any], xref: Form = "table", stream_number: int | None = None,
+) -> tuple[bytes, int]:
+    """The bytes of an update that begins at an offset behind the header, and the offset of its section."""
     if not objects and not deleted:
         raise WriteError("an update shall name an object")
     named = [n for n, _, _ in objects] + [n for n, _ in deleted]
     if len(set(named)) != len(named) or min(named) < 1:
         raise WriteError("an update shall name each object once, by a positive number")
-    out = bytearray(original)
-    if not original.endswith((b"\n", b"\r")):
-        out += b"\n"
+    out = bytearray()
     entries: dict[int, Entry] = {n: Entry("free", 0, g) for n, g in deleted}
     for number, generation, value in objects:
-        entries[number] = Entry("in-use", len(out) - origin, generation)
+        entries[number] = Entry("in-use", at + len(out), generation)
         out += write_indirect(number, generation, value)
-    start = len(out) - origin
+    start = at + len(out)
     if xref == "stream":
         if stream_number is None or stream_number in entries:
             raise WriteError("a cross-reference stream needs an object number of its own")
@@ -270,8 +283,7 @@ def append_update(
                 out += xref_entry(entries[n].a, entries[n].b, b"n" if entries[n].kind == "in-use" else b"f")
         out += b"trailer\n" + write_object(carried) + b"\n"
     out += b"startxref\n%d\n%%%%EOF\n" % start
-    assert_original_intact(original, bytes(out))
-    return bytes(out)
+    return bytes(out), start
 
 
 def assert_original_intact(original: bytes, updated: bytes) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernel import content, declare, pagetree
+from ..runtime import Scratch
 
 
 def newest_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -106,20 +107,21 @@ def descendant_counts(edges: DataFrame, roots: DataFrame, max_depth: int = paget
     """Pages below every node, from edges (file_id, parent, child, is_page), level by level.
 
     The cross-check of the walk in the kernel: one join for each level of the
-    deepest tree, which the depth limit bounds.  Edges and frontiers are kept
-    between the levels and can be computed anew if an executor is lost.
+    deepest tree, which the depth limit bounds.  Edges and frontiers are
+    written to the shared folder, so a lost executor costs one level at most.
     """
-    edges = edges.persist()
+    scratch = Scratch(edges.sparkSession, "descendants")
+    edges = scratch.keep(edges, "edges")
     reached = roots.select("file_id", F.col("node").alias("ancestor"), F.col("node").alias("parent"))
     found = None
     for _ in range(max_depth):
-        step = reached.join(edges, ["file_id", "parent"])
-        pages = step.where("is_page").select("file_id", "ancestor")
+        step = scratch.keep(reached.join(edges, ["file_id", "parent"]).select("file_id", "ancestor", "child", "is_page"), "step")
+        pages = step.where("is_page").groupBy("file_id", "ancestor").agg(F.count(F.lit(1)).alias("pages"))
         found = pages if found is None else found.unionByName(pages)
-        reached = step.where("not is_page").select("file_id", "ancestor", F.col("child").alias("parent")).persist()
+        reached = step.where("not is_page").select("file_id", "ancestor", F.col("child").alias("parent"))
         if reached.isEmpty():
             break
-    return found.groupBy("file_id", "ancestor").agg(F.count(F.lit(1)).alias("pages"))
+    return found.groupBy("file_id", "ancestor").agg(F.sum("pages").alias("pages"))
 
 
 def later_visits(visits: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -139,7 +141,7 @@ def wrong_parents(edges: DataFrame, declared: DataFrame) -> DataFrame:
     return both.where(~F.col("parent").eqNullSafe(F.col("declared")))
 
 
-_NODE_VALUES = ("kind", "bool_v", "int_v", "real_v", "name_v", "bytes_v", "str_form", "ref_num", "ref_gen")
+_NODE_VALUES = ("kind", "bool_v", "int_v", "int_text", "real_v", "name_v", "bytes_v", "str_form", "ref_num", "ref_gen")
 
 
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -178,6 +180,20 @@ def new_complaints(before: DataFrame, after: DataFrame, keys: list[str]) -> Data
     return after.select(*keys).distinct().join(before.select(*keys).distinct(), keys, "left_anti")
 
 
+def manifest_check(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files against a pinned manifest (file_id, length, sha256): (file_id, status) with status ok, changed, missing or extra."""
+    here = files.select("file_id", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
+    pinned = manifest.select(F.col("file_id").alias("pinned"), "length", "sha256")
+    status = (
+        F.when(F.col("pinned").isNull(), "extra")
+        .when(F.col("file_id").isNull(), "missing")
+        .when((F.col("n") == F.col("length")) & (F.col("digest") == F.col("sha256")), "ok")
+        .otherwise("changed")
+    )
+    joined = here.join(pinned, F.col("file_id") == F.col("pinned"), "full_outer")
+    return joined.select(F.coalesce("file_id", "pinned").alias("file_id"), status.alias("status"))
+
+
 def kind_histogram(objects: DataFrame) -> DataFrame:
     return objects.groupBy("file_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 

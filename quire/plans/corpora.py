@@ -7,25 +7,46 @@ never grows with the table.
 from __future__ import annotations
 
 import zlib
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernel import writer
+from ..kernel import filters, writer
 from ..kernel.content import ContentStream
 from ..kernel.structure import StructureTree
 from ..kernel.values import Name, PdfString, Ref, Stream
+from ..runtime import Scratch, exists, shared_dir
 from ..sources.arrow import map_groups, map_rows
 
+#: Pixels of a predicted row.
+COLUMNS = 64
 #: Ids that share a file.
 PAGES_PER_FILE = 500
 FILE = "file_id string, content binary"
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(build):
+    """Write a corpus once for each application and set of tables, and read it wherever it is used."""
+
+    @wraps(build)
+    def run(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+        key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, build.__name__, *sorted(options.items()))
+        held = _STORED.get(key)
+        if held is None or not exists(spark, f"{held.quire_path}/_SUCCESS"):
+            held = _STORED[key] = Scratch(spark, build.__name__).keep(build(spark, sf_dir, **options), "files")
+        return held
+
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stored
 def page_files(spark: SparkSession, sf_dir: str, *, defects: bool = False) -> DataFrame:
     """(file_id, region, content): a page tree of region, nations and customers.
 
@@ -33,9 +54,7 @@ def page_files(spark: SparkSession, sf_dir: str, *, defects: bool = False) -> Da
     ``defects`` some customers' pages break a rule, by key.
     """
     customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    joined = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     rows = joined.select("r_regionkey", "r_name", "n_nationkey", "n_name", "c_custkey", F.floor(F.col("c_custkey") / PAGES_PER_FILE).alias("bucket"))
 
     def work(key, found):
@@ -92,32 +111,32 @@ def page_of(r: dict, parent: Ref, defects: bool) -> dict:
     return page
 
 
+@stored
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file for each document: its text as a string, and as Flate streams without and with a PNG predictor."""
+    """One file for each document: its text as strings, and as Flate streams without and with predictors.
+
+    Objects 2 and 5 are strings; 3 is plain, 4 has PNG rows of the tag Up, 6
+    PNG rows of all five tags in turn, 7 TIFF rows of three components.  /DL
+    tells the length without the last row's filling.
+    """
 
     def work(doc_id, text):
         data = (text or "").encode()
-        columns = 16
-        padded = data + b"\0" * (-len(data) % columns)
-        rows = [padded[k : k + columns] for k in range(0, len(padded), columns)]
-        up = bytearray()
-        above = bytes(columns)
-        for row in rows:
-            up += b"\2" + bytes((a - b) & 0xFF for a, b in zip(row, above))
-            above = row
-        parms = {"Predictor": 12, "Columns": columns}
-        objects = [
-            (1, 0, {"Type": Name("Catalog"), "Length": len(data)}),
-            (2, 0, PdfString(data)),
-            (3, 0, Stream({"Filter": Name("FlateDecode")}, zlib.compress(data))),
-            (4, 0, Stream({"Filter": [Name("FlateDecode")], "DecodeParms": [parms]}, zlib.compress(bytes(up)))),
-            (5, 0, PdfString(data, "hex")),
-        ]
+        png = {"Predictor": 15, "Columns": COLUMNS}
+        forms = {
+            3: (data, None), 4: (filters.png_rows(data, COLUMNS), png), 6: (filters.png_rows(data, COLUMNS, (0, 1, 2, 3, 4)), png),
+            7: (filters.tiff_rows(data, COLUMNS, 3), {"Predictor": 2, "Columns": COLUMNS, "Colors": 3}),
+        }
+        objects = [(1, 0, {"Type": Name("Catalog")}), (2, 0, PdfString(data)), (5, 0, PdfString(data, "hex"))]
+        for number, (rows, parms) in forms.items():
+            more = {} if parms is None else {"DecodeParms": [parms]}
+            objects.append((number, 0, Stream({"Filter": [Name("FlateDecode")], "DL": len(data), **more}, zlib.compress(rows, 1))))
         yield str(doc_id), writer.write_file(objects, {"Root": Ref(1)})
 
     return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), FILE, work)
 
 
+@stored
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one object that every event of a user revises, at most a thousand revisions each."""
     events = table(spark, sf_dir, "events").select(
@@ -127,19 +146,20 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(key, rows):
         rows = sorted(rows, key=lambda r: (r["ts"], r["event_id"]))
         value = lambda r: {"Ts": r["ts"], "Id": r["event_id"], "Value": float(r["value"])}
-        catalog = {"Type": Name("Catalog")}
-        data = writer.write_file([(1, 0, catalog), (2, 0, value(rows[0]))], {"Root": Ref(1)})
+        out = bytearray(writer.write_file([(1, 0, {"Type": Name("Catalog")}), (2, 0, value(rows[0]))], {"Root": Ref(1)}))
+        start = writer.find_last_startxref(out)
         for k, r in enumerate(rows[1:]):
-            xref = "stream" if k % 3 == 2 else "table"
-            data = writer.append_update(
-                data, [(2, 0, value(r))], [], previous=writer.find_last_startxref(data), previous_size=3 + k, trailer={"Root": Ref(1)},
-                xref=xref, stream_number=3 + k,
+            tail, start = writer.update_tail(
+                len(out), [(2, 0, value(r))], [], previous=start, previous_size=3 + k, trailer={"Root": Ref(1)},
+                xref="stream" if k % 3 == 2 else "table", stream_number=3 + k,
             )
-        return [(f"{key[0]}-{key[1]}", data)]
+            out += tail
+        return [(f"{key[0]}-{key[1]}", bytes(out))]
 
     return map_groups(events, ["user_id", "bucket"], FILE, work)
 
 
+@stored
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as dictionaries in object streams, 500 keys to a file."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.floor(F.col("o_orderkey") / 500).alias("bucket"))
@@ -169,6 +189,7 @@ class _Sink:
 TURNS, PAGES = 256, 3
 
 
+@stored
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tagged document for each conversation: an element for each role, an item with the whole text for each turn."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURNS).alias("bucket"))
@@ -181,6 +202,8 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams = [tree.stream(Ref(3 + k), ContentStream()) for k in range(PAGES)]
         for r in found:
             text = PdfString((r["text"] or "").encode())
+            if r["turn"] < 2 * PAGES:  # a running head on every page, and a rule under it
+                streams[r["turn"] % PAGES].artifact(lambda c: c.op("BT").op("ET"), "Header" if r["turn"] < PAGES else None)
             streams[r["turn"] % PAGES].item(roles[r["role"] or ""], lambda c: c.op("BT").op("Tj", text).op("ET"))  # noqa: B023
         sink = _Sink(3 + 2 * PAGES)
         built = tree.finish(sink)
@@ -201,6 +224,7 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAMAGE = ("none", "header", "startxref", "offset", "entry", "catalog")
 
 
+@stored
 def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small file for each supplier, damaged by key."""
 

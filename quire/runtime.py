@@ -1,12 +1,13 @@
-"""What every query needs from the session: the package on the workers."""
+"""What every query needs from the session: the package on the workers, and tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
@@ -27,3 +28,57 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(_ROOT))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only in local mode.
+
+    Raises on a cluster that names none: a folder of one machine would lose
+    its files with that machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="quire-shared-"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables of one query in the shared folder.
+
+    ``keep`` writes a DataFrame and reads it back, which cuts its lineage: a
+    lost executor costs at most the tasks after the last table.  ``drop``
+    deletes a table that no later step reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back.quire_path = path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(self.spark, table.quire_path)

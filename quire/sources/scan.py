@@ -1,8 +1,9 @@
 """Scanning PDF files into tables.
 
 ``files`` is any DataFrame of (file_id, content).  A file is parsed where it
-lies; its bytes are never shuffled.  A malformed file gives rows in
-:func:`errors` and none elsewhere; it never fails a job.  Files are
+lies; scans never shuffle its bytes.  A malformed file gives rows in
+:func:`errors` and none elsewhere; it never fails a job, whatever is wrong
+with it.  Integers beyond 38 digits are text in the node table.  Files are
 independent, so partitions follow the source, and a table reads only the
 columns that it needs.
 """
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernel import cosjson, pagetree, survey
+from ..kernel import cosjson, editor, filters, pagetree, survey
 from ..kernel import files as kernel
 from ..kernel.lexer import Cursor, TokenReader
 from ..kernel.values import Name, PdfError, PdfString, Ref, Stream, get, kind_of, references
@@ -26,19 +27,22 @@ ENTRY = "file_id string, section_ord int, object_number long, kind string, a lon
 OBJECT = "file_id string, object_number long, generation int, kind string, cos string, error string"
 NODE = (
     "file_id string, object_number long, generation int, node_id int, parent_id int, depth int, path string, key string, ordinal int, kind string, "
-    "bool_v boolean, int_v decimal(38,0), real_v double, name_v string, bytes_v binary, str_form string, ref_num long, ref_gen int"
+    "bool_v boolean, int_v decimal(38,0), int_text string, real_v double, name_v string, bytes_v binary, str_form string, ref_num long, ref_gen int"
 )
 PAGE = "file_id string, page_index int, object_number long, generation int, depth int, dict string, inherited map<string,string>"
-PAGE_NODE = "file_id string, node_ord int, object_number long, generation int, dict string, count int, declared int"
+PAGE_NODE = "file_id string, node_ord int, object_number long, generation int, dict string, count int, declared long"
 PAGE_ANCESTOR = "file_id string, page_index int, distance int, dict string"
 VIOLATION = "file_id string, ord int, clause string, message string, object_number long"
 REFERENCE = "file_id string, object_number long, ref_num long, ref_gen int"
 TOKEN = "file_id string, seq int, kind string, value string, offset long"
+#: Levels of nesting that a path spells out.
+PATH_DEPTH = 256
+PAYLOAD = "file_id string, object_number long, generation int, kind string, data binary, error string"
 SLOT = "file_id string, container long, idx int, object_number long, offset long"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every *.pdf below a path, whatever the case of its suffix, as (file_id, length, content)."""
+    """Every *.pdf below a path, whatever the case of its suffix, as (file_id, length, content); Spark's source skips empty files."""
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     )
@@ -48,26 +52,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def _scan(files: DataFrame, schema: str, rows: Callable[[str, kernel.Document], Iterable[tuple]]) -> DataFrame:
     def work(file_id, content):
         try:
-            found = list(rows(file_id, kernel.parse(bytes(content or b""))))
-        except PdfError:
-            return ()
-        return found
+            yield from rows(file_id, kernel.parse(bytes(content or b"")))
+        except Exception:  # noqa: BLE001 - whatever a file does to its reader is a row of errors()
+            return
 
     return map_rows(files.select("file_id", "content"), schema, work)
 
 
 def errors(files: DataFrame) -> DataFrame:
-    """(file_id, layer, message, normalised, offset): the first error of every file that has one."""
+    """(file_id, layer, message, normalised, offset): the first error of every file that has one.
+
+    What isn't an error of a layer (nesting that exhausts the stack, say) is
+    of the layer ``internal``.
+    """
 
     def work(file_id, content):
         try:
             document = kernel.parse(bytes(content or b""))
             for number, generation, _ in document.live():
-                document.get(number, generation)
+                cosjson.dumps(document.get(number, generation))
             if not isinstance(document.catalog(), dict):
                 raise PdfError("the catalog is no dictionary")
         except PdfError as error:
             yield file_id, error.layer, str(error), survey.normalise(str(error)), error.offset
+        except Exception as error:  # noqa: BLE001
+            message = f"{type(error).__name__}: {error}"
+            yield file_id, "internal", message, survey.normalise(message), None
 
     return map_rows(files.select("file_id", "content"), "file_id string, layer string, message string, normalised string, offset long", work)
 
@@ -126,8 +136,52 @@ def objects(files: DataFrame) -> DataFrame:
     return _scan(files, OBJECT, rows)
 
 
+def payloads(files: DataFrame) -> DataFrame:
+    """Bytes of strings, and decoded data of streams up to the /DL that they declare; what can't be decoded has its error."""
+
+    def rows(file_id, d):
+        for number, generation, _ in d.live():
+            try:
+                value = d.get(number, generation)
+                data = filters.decode_stream(value, d.resolve) if isinstance(value, Stream) else value.data if isinstance(value, PdfString) else None
+            except PdfError as error:
+                yield file_id, number, generation, None, None, str(error)
+                continue
+            if data is not None:
+                most = get(value.dict, "DL") if isinstance(value, Stream) else None
+                yield file_id, number, generation, kind_of(value), data if most is None else data[: max(0, d.resolve(most))], None
+
+    return _scan(files, PAYLOAD, rows)
+
+
+def page_values(files: DataFrame, key: str) -> DataFrame:
+    """(file_id, page_index, value): an attribute of every page, inherited or own, as the editor resolves it."""
+
+    def rows(file_id, d):
+        made = editor.Editor.of(d)
+        for k in range(len(made.pages())):
+            yield file_id, k, cosjson.dumps(made.page_attribute(k, key))
+
+    return _scan(files, "file_id string, page_index int, value string", rows)
+
+
+def count_corrections(files: DataFrame) -> DataFrame:
+    """Page-tree nodes whose /Count is wrong: (file_id, object_number, generation, before, after), dictionaries before and after."""
+
+    def rows(file_id, d):
+        for ref, (entries_of, count) in pagetree.count_corrections(d).items():
+            yield file_id, *ref, cosjson.dumps(entries_of), cosjson.dumps(pagetree.with_count(entries_of, count))
+
+    return _scan(files, "file_id string, object_number long, generation int, before string, after string", rows)
+
+
 def flat_nodes(file_id, number, generation, value) -> Iterable[tuple]:
-    """A value and all inside it in pre-order, as rows of the node table."""
+    """A value and all inside it in pre-order, as rows of the node table.
+
+    A path goes back to the object, or to the nearest value above at a depth
+    that ``PATH_DEPTH`` divides, which it names by node; so paths stay short
+    however deep the nesting.
+    """
     waiting = [(value, None, 0, "", None, None)]
     node_id = 0
     while waiting:
@@ -136,11 +190,14 @@ def flat_nodes(file_id, number, generation, value) -> Iterable[tuple]:
         own, node_id = node_id, node_id + 1
         yield (
             file_id, number, generation, own, parent, depth, path, key, ordinal, kind, item if kind == "boolean" else None,
-            item if kind == "integer" else None, item if kind == "real" else None, str(item) if kind == "name" else None,
+            item if kind == "integer" and abs(item) < 10**38 else None, str(item) if kind == "integer" and abs(item) >= 10**38 else None,
+            item if kind == "real" else None, str(item) if kind == "name" else None,
             item.data if kind == "string" else item.raw if kind == "stream" else None, item.form if kind == "string" else None,
             item.number if kind == "ref" else None, item.generation if kind == "ref" else None,
         )
         inside = item.dict if isinstance(item, Stream) else item
+        if depth and depth % PATH_DEPTH == 0:
+            path = f"#{own}"
         if isinstance(inside, dict):
             below = [(v, own, depth + 1, f"{path}/{k}", str(k), i) for i, (k, v) in enumerate(inside.items())]
         elif isinstance(inside, list):
@@ -168,9 +225,10 @@ def reference_rows(files: DataFrame) -> DataFrame:
     """Every reference in live objects, and in the trailer as object 0."""
 
     def rows(file_id, d):
+        live = d.collect()
         for r in references(d.trailer):
             yield file_id, 0, r.number, r.generation
-        for number, _, value in d.collect():
+        for number, _, value in live:
             for r in references(value):
                 yield file_id, number, r.number, r.generation
 
@@ -207,7 +265,7 @@ def page_nodes(files: DataFrame) -> DataFrame:
     def rows(file_id, d):
         for k, n in enumerate(pagetree.read_page_tree(d).nodes):
             declared = d.resolve(get(n.dict, "Count"))
-            declared = declared if isinstance(declared, int) and not isinstance(declared, bool) else None
+            declared = declared if isinstance(declared, int) and not isinstance(declared, bool) and abs(declared) < 2**63 else None
             ref = n.ref or Ref(None, None)
             yield file_id, k, ref.number, ref.generation, cosjson.dumps(n.dict), n.count, declared
 
@@ -249,7 +307,11 @@ def round_trips(files: DataFrame) -> DataFrame:
 
     def work(file_id, content):
         for mode, xref, packed in survey.MODES:
-            yield file_id, mode, *survey.round_trip(bytes(content or b""), xref, packed)
+            try:
+                outcome = survey.round_trip(bytes(content or b""), xref, packed)
+            except Exception as error:  # noqa: BLE001
+                outcome = "unreadable", f"{type(error).__name__}: {error}"
+            yield file_id, mode, *outcome
 
     return map_rows(files.select("file_id", "content"), "file_id string, mode string, outcome string, detail string", work)
 
@@ -263,7 +325,7 @@ def rewritten(files: DataFrame, mode: str) -> DataFrame:
     def work(file_id, content):
         try:
             yield file_id, writer.rewrite(kernel.parse(bytes(content or b"")), xref=xref, object_streams=packed)
-        except PdfError:
+        except Exception:  # noqa: BLE001
             return
 
     return map_rows(files.select("file_id", "content"), "file_id string, content binary", work)

@@ -1,9 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from quire.kernel import content, declare, files, filters, fonts, lexer, pagetree, structure, survey, writer
+from quire.kernel import content, declare, files, filters, fixture, fonts, inflate, lexer, pagetree, structure, survey, writer
 from quire.kernel.editor import Editor
 from quire.kernel.values import FilterError, LexError, Name, ParseError, PdfError, PdfString, Ref, Refusal, Stream, TruncatedHistory, WriteError, kind_of
 
@@ -354,3 +355,40 @@ def test_declarations():
 def test_failures_group():
     assert survey.normalise("no /Foo12 at 0x1F, byte 33") == "no /Name at 0xN, byte N"
     assert survey.round_trip(b"nothing", "table", False)[0] == "unreadable"
+
+
+@pytest.mark.parametrize("level", range(10))
+def test_second_inflater_agrees_with_the_library(level):
+    rng = random.Random(level)
+    for n in (0, 1, 100, 4000):
+        data = bytes(rng.choice(b"abcde \n") for _ in range(n)) + rng.randbytes(n // 8)
+        packed = zlib.compress(data, level)
+        assert inflate.inflate(packed) == data
+        damaged = bytearray(packed)
+        damaged[rng.randrange(len(packed))] ^= 1 << rng.randrange(8)
+        for other in (bytes(damaged), packed[:-1], packed + b"x", b"", b"x"):
+            assert not inflate.differs(other, filters.inflate)
+
+
+@pytest.mark.parametrize("tags", [(0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4), (4, 3)])
+def test_predicted_rows_come_back(tags):
+    rng = random.Random(sum(tags))
+    for n in (0, 1, 64, 1000):
+        data = rng.randbytes(n)
+        assert filters.apply_predictor(filters.png_rows(data, 64, tags), {"Predictor": 15, "Columns": 64})[:n] == data
+        assert filters.apply_predictor(filters.tiff_rows(data, 21, 3), {"Predictor": 2, "Columns": 21, "Colors": 3})[:n] == data
+
+
+@pytest.mark.parametrize("kind", fixture.HISTORIES)
+def test_histories(kind):
+    document = files.parse(fixture.history_file(41, kind))
+    assert (document.stop.kind, document.get(2)) == (kind, 42)
+    assert len(document.chain.sections) == (2 if kind == "complete" else 1)
+
+
+def test_editor_lists_what_changed():
+    made = Editor.create()
+    refs = [made.allocate(k) for k in range(3)]
+    made.delete(refs[1].number)
+    made.set(9, None)
+    assert [n for n, _, _ in made.changed()] == [1, 2, 3, 5, 9] and made.deleted() == [(4, 1)] and made.dirty

@@ -44,6 +44,57 @@ def test_tables(found):
     assert {tuple(r) for r in looked} == {(1, "dict"), (2, "dict"), (3, "dict"), (4, "dict")}
 
 
+DEEP = 20_000
+ODD = {
+    "digits": build_pdf(["<< /Type /Catalog >>", "9" * 5000]),
+    "nested": build_pdf(["<< /Type /Catalog >>", "[" * DEEP + "]" * DEEP]),
+    "long": build_pdf(["<< /Type /Catalog >>", "[%d -%d]" % (10**38, 10**39)]),
+    "number": build_pdf(["<< /Type /Catalog >>", "%d 0 R" % 10**20]),
+    "size": build_pdf(["<< /Type /Catalog >>"], trailer=lambda n: f"trailer\n<< /Size {10**20} /Root 1 0 R >>\n"),
+    "prev": build_pdf(["<< /Type /Catalog >>"], trailer=lambda n: f"trailer\n<< /Size {n} /Root 1 0 R /Prev {10**20} >>\n"),
+    "count": build_pdf(["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [] /Count {10**20} >>"]),
+}
+
+
+def test_malformed_files_are_error_rows(spark, found):
+    files_of = spark.createDataFrame([(k, bytearray(v)) for k, v in ODD.items()], "file_id string, content binary").union(found.select("file_id", "content"))
+    layers = {r.file_id: r.layer for r in scan.errors(files_of).collect()}
+    assert layers == {"digits": "lex", "number": "parse", "size": "parse", "bad": "parse", "none": "parse", "empty": "parse"}
+    objects = {(r.file_id, r.object_number): r for r in scan.objects(files_of).collect()}
+    assert "4000 digits" in objects["digits", 2].error and "no reference" in objects["number", 2].error
+    assert objects["nested", 2].cos == "[" * DEEP + "]" * DEEP and objects["long", 2].cos == f"[{10**38},-{10**39}]"
+    nodes = scan.nodes(files_of).where("object_number = 2")
+    deep = nodes.where("file_id = 'nested'").agg(F.count(F.lit(1)), F.max("depth"), F.max(F.length("path")), F.count_distinct("path")).first()
+    assert (deep[0], deep[1]) == (DEEP, DEEP - 1) and deep[2] < 1000 and deep[3] == DEEP
+    assert [(r.int_v, r.int_text) for r in nodes.where("file_id = 'long' and kind = 'integer'").orderBy("ordinal").collect()] == [(None, str(10**38)), (None, str(-(10**39)))]
+    assert {r.file_id: r.stop_kind for r in scan.headers(files_of).collect()}["prev"] == "malformed"
+    assert [r.declared for r in scan.page_nodes(files_of).where("file_id = 'count'").collect()] == [None]
+    for table in (scan.reference_rows, scan.round_trips, scan.sections, scan.entries, scan.pages, scan.violations, scan.payloads, lambda f: scan.rewritten(f, "objstm")):
+        assert table(files_of).count() > 0
+    outcomes = {(r.file_id, r["mode"]): r.outcome for r in scan.round_trips(files_of).collect()}
+    assert outcomes["nested", "table"] == "ok" and outcomes["digits", "table"] == "unreadable" and outcomes["prev", "table"] == "not-measurable"
+
+
+def test_unedited_files_stay(spark, found):
+    schema = "file_id string, edits array<struct<action:string,object_number:long,generation:int,cos:string>>"
+    edits = spark.createDataFrame([("good", []), ("bad", [("set", 1, 0, "1")])], schema)
+    got = {r.file_id: r for r in sink.apply_edits(found, edits).collect()}
+    assert set(got) == {"good", "bad", "none", "empty"}
+    assert bytes(got["empty"].content) == b"" and got["none"].content is None and got["none"].error is None
+    assert got["bad"].content is None and got["bad"].error and bytes(got["good"].content) == GOOD
+
+
+def test_stored_files_and_manifest(spark, found, tmp_path):
+    named = found.withColumn("name", F.concat(F.lit("a/b/"), "file_id", F.lit(".Pdf")))
+    for _ in range(2):  # a task that runs again leaves the same files
+        assert sink.write_files(named, str(tmp_path)).agg(F.sum("n_bytes")).first()[0] == len(GOOD) + len(BAD)
+    back = {r.file_id.rsplit("/", 1)[1]: bytes(r.content) for r in scan.read_files(spark, f"file://{tmp_path}").collect()}
+    assert back == {"good.Pdf": GOOD, "bad.Pdf": BAD}
+    pinned = [("good", len(GOOD), hashlib.sha256(GOOD).hexdigest()), ("bad", len(BAD), "0"), ("gone", 1, "0")]
+    checked = rel.manifest_check(found.where("file_id <> 'none'"), spark.createDataFrame(pinned, "file_id string, length long, sha256 string"))
+    assert {r.file_id: r.status for r in checked.collect()} == {"good": "ok", "bad": "changed", "gone": "missing", "empty": "extra"}
+
+
 def test_empty_tables(found):
     none = found.limit(0)
     for table in (scan.headers, scan.objects, scan.nodes, scan.pages, scan.errors, scan.tokens, scan.round_trips):
