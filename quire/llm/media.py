@@ -1,24 +1,28 @@
 """Interleaved document sequences: text and media references in order.
 
 HTML becomes an ordered sequence of text and media structs; a media struct
-names its payload by digest.  A join on the digest resolves the payload's
-record, and the sequence is put together again by position, so captions and
+names its payload by digest: the one that its source names, the digest of what
+a data URL holds, or else the digest of the source itself, under which a crawl
+stores what it fetched.  A join on the digest resolves the payload's record, and the sequence is put together again by position, so captions and
 places stay aligned whether a payload is found or not.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import struct
 import zlib
 from html.parser import HTMLParser
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, pick
+from .common import Scratch, arrow_rows, hot_join, pick
 
 #: Samples of one image row: 64 pixels of 3 channels, 8 bits each.
 ROW_BYTES = 192
@@ -32,6 +36,23 @@ _MEDIA = frozenset("img video audio source embed".split())
 _SILENT = frozenset(("script", "style", "template", "noscript"))
 
 
+def digest_of(source: str) -> str:
+    """The digest under which a reference's payload is stored."""
+    named = re.fullmatch(r"sha256:([0-9a-f]{64})", source.lower())
+    if named:
+        return named[1]
+    held = re.match(r"data:[^,]*,", source, re.I)
+    if not held:
+        return hashlib.sha256(source.encode("utf-8", "surrogatepass")).hexdigest()
+    body = unquote_to_bytes(source[held.end() :])
+    if held[0].lower().endswith(";base64,"):
+        try:
+            body = base64.b64decode(re.sub(rb"\s", b"", body) + b"==")
+        except binascii.Error:
+            body = b""
+    return hashlib.sha256(body).hexdigest()
+
+
 class _Sequence(HTMLParser):
     """Gathers text runs and media references in document order."""
 
@@ -61,12 +82,12 @@ class _Sequence(HTMLParser):
             self.caption = []
         elif tag in _MEDIA:
             values = dict(attrs)
-            found = re.fullmatch(r"sha256:([0-9a-f]{64})", (values.get("src") or "").strip().lower())
-            if found:
+            source = (values.get("src") or "").strip()
+            if source:
                 self.close_text()
                 if self.figure is not None:
                     self.figure.append(len(self.items))
-                self.items.append(["media", None, found[1], " ".join((values.get("alt") or "").split()) or None])
+                self.items.append(["media", None, digest_of(source), " ".join((values.get("alt") or "").split()) or None])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,18 +142,19 @@ def parse_sequences(pages: DataFrame, *, id_col: str, html_col: str) -> DataFram
     return arrow_rows(pick(pages, id=id_col, html=html_col), f"`{id_col}` long, items array<{ITEM}>", rows)
 
 
-def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame:
+def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch: Scratch | None = None) -> DataFrame:
     """(row, id, position, digest, caption, *record) for every media reference.
 
-    ``media`` has one row for each digest.  References are small rows, so a
-    digest that a third of all documents name costs skewed small rows.  Give
-    records as a written table: then both sides are plain scans and an
-    adaptive join splits the frequent digest among tasks.  A reference without
-    payload keeps its place with null record columns.
+    ``media`` has one row for each digest.  A digest that very many references
+    name is broadcast with its record (``common.hot_join``).  A reference
+    without payload keeps its place with null record columns.
     """
+    scratch = scratch or Scratch(sequences.sparkSession, "media")
     refs = sequences.select(F.col(f"`{id_col}`"), F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = refs.select(F.col(f"`{id_col}`"), F.col("item.position").alias("position"), F.col("item.digest").alias("ref"), F.col("item.caption").alias("caption"))
-    return refs.join(media, F.col("ref") == F.col("digest"), "left").drop("digest").withColumnRenamed("ref", "digest")
+    named = refs.groupBy(F.col("ref").alias("named")).agg(F.count(F.lit(1)).alias("n_refs"))
+    wanted = scratch.keep(media.join(named, F.col("digest") == F.col("named")).drop("named"), "wanted")
+    return hot_join(scratch, refs, wanted, {"ref": "digest"}, "n_refs", how="left", cheap=True).drop("digest", "n_refs").withColumnRenamed("ref", "digest")
 
 
 def interleave(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch: Scratch) -> DataFrame:
@@ -149,7 +171,7 @@ def interleave(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch:
         sequences.select(F.monotonically_increasing_id().alias("s_row"), F.col(f"`{id_col}`").alias("s_id"), "items"), "sequences"
     )
     records = media.select("digest", F.struct(*[F.col(f"`{c}`") for c in media.columns if c != "digest"]).alias("record"))
-    found = resolve(numbered, records, id_col="s_row")
+    found = resolve(numbered, records, id_col="s_row", scratch=scratch)
     other = numbered.select("s_row", "s_id", F.explode_outer(F.filter("items", lambda x: x["kind"] != "media")).alias("item"))
     kind = records.schema["record"].dataType
     own = [F.col(f"item.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")]
