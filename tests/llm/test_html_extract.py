@@ -1,7 +1,11 @@
+import html
+import re
+
 import numpy as np
 import pytest
 
 from quire.llm import boosting, dom, html_extract
+from tests.llm.hand_pages import PAGES
 
 
 @pytest.fixture(scope="module")
@@ -54,9 +58,36 @@ def test_deep_and_long_pages(extractor):
     assert len(extractor.texts([deep, long])[1]) == 3000 * len(PROSE) - 1
 
 
+def by_rule(page: str) -> str:
+    """The main text of a page of the table, by what its markup says."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    inner = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class=\"ad\">.*?</div>", "\0", inner)
+    inner = re.sub(r"</?(p|h[1-6]|div|ul|li)\b[^>]*>", "\0", inner.replace("<br>", " "))
+    blocks = (" ".join(html.unescape(b).split()) for b in re.sub(r"</?[a-zA-Z][^>]*>", "", inner).split("\0"))
+    return "\n".join(b for b in blocks if b)
+
+
 def test_pages_table(spark, sf):
-    rows = html_extract.extract(spark, spark.read.parquet(f"{sf}/pages.parquet")).collect()
-    assert all(r.text and "track(" not in r.text and "©" not in r.text for r in rows)
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    want = {r.page_id: (by_rule(r.html), r.url) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.url) for r in html_extract.extract(spark, pages).collect()}
+    assert len(want) == 250 and got == want
+
+
+def test_hand_labelled_pages(extractor):
+    found = kept = total = 0
+    for name, (page, blocks) in PAGES.items():
+        got = extractor.texts([page])[0].split("\n")
+        assert len(set(blocks) - set(got)) <= 1, name
+        found += sum(len(b) for b in blocks if b in got)
+        kept += sum(map(len, got))
+        total += sum(map(len, blocks))
+    assert found >= 0.97 * total and found >= 0.99 * kept
+
+
+def test_null_ids(spark):
+    table = spark.createDataFrame([(None, None, PAGE), (None, "u", None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.url, r.text) for r in html_extract.extract(spark, table).collect() if r.url) == [(None, "u", "")]
 
 
 def test_held_out_accuracy(extractor):
