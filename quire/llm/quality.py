@@ -17,6 +17,7 @@ are computed once and kept in the shared folder for the rounds.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -59,23 +60,11 @@ class _Shapes(dict):
         return value
 
 
-class _Words(dict):
-    """Hash bucket of a word without regard to case; only short words are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, seed=1) % WORDS
-        if len(word) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
 class Views:
     """Feature vectors of a document: content, metadata."""
 
     def __init__(self):
-        self.shapes, self.words = _Shapes(), _Words()
+        self.shapes = _Shapes()
 
     def content(self, text: str) -> np.ndarray:
         out = np.zeros(SHAPES + WORDS + CONTENT_STATS)
@@ -87,9 +76,10 @@ class Views:
             out[SHAPES + WORDS] = 1
             return out
         own = data.lower().split()
-        for at, size, buckets, found in ((0, SHAPES, self.shapes, words), (SHAPES, WORDS, self.words, own)):
-            hashed = np.fromiter(map(buckets.__getitem__, found), np.int64, n)
-            out[at : at + size] = np.sqrt(np.bincount(hashed, minlength=size) / n)
+        shapes = np.fromiter(map(self.shapes.__getitem__, words), np.int64, n)
+        hashed = np.fromiter(map(zlib.crc32, own), np.uint32, n) % WORDS
+        out[:SHAPES] = np.sqrt(np.bincount(shapes, minlength=SHAPES) / n)
+        out[SHAPES : SHAPES + WORDS] = np.sqrt(np.bincount(hashed, minlength=WORDS) / n)
         size = len(data)
         letters, upper, digits = (shaped.count(c) for c in (b"x", b"X", b"d"))
         distinct = len(set(own))
