@@ -198,9 +198,74 @@ def filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILE, work)
 
 
+EOLS = (b" \n", b"\r\n", b" \r")
+
+
+@stored
+def junk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together by hand: bytes before the header, the three ends of an entry, object 2 written before object 1."""
+
+    def work(k, name):
+        bodies = {2: b"2 0 obj\n%d\nendobj\n" % k, 1: fixture.CATALOG}
+        yield str(k), fixture.table_file(bodies, junk=(name or "").encode() * (k % 2), eol=EOLS[k % 3], more=b"/Key %d" % k)
+
+    return map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILE, work)
+
+
+@stored
+def updated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, with an update that has an object for every part that it delivers."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+
+    def work(key, found):
+        base = writer.write_file([CATALOG], ROOT)
+        objects = [(r["l_partkey"] + 1, 0, r["l_partkey"]) for r in found]
+        return [(str(key[0]), writer.append_update(base, objects, [], previous=writer.find_last_startxref(base), previous_size=2, trailer=ROOT))]
+
+    return map_groups(rows, ["l_suppkey"], FILE, work)
+
+
+#: Parts that share a file.
+PARTS_PER_FILE = 100
+
+
+@stored
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of a hundred parts as the objects of a file, in the order of their keys."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.floor(F.col("p_partkey") / PARTS_PER_FILE).alias("bucket"))
+
+    def work(key, found):
+        objects = [CATALOG, *((2 + r["p_partkey"] % PARTS_PER_FILE, 0, PdfString((r["p_name"] or "").encode())) for r in found)]
+        return [(str(key[0]), writer.write_file(objects, ROOT, version="1.7"))]
+
+    return map_groups(rows, ["bucket"], FILE, work)
+
+
 # Queries.
 
 
+def junk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where headers begin, and what is read behind them."""
+    files = junk_files(spark, sf_dir)
+    numbers = scan.nodes(files).where("object_number = 2").select("file_id", F.col("int_v").cast("long").alias("number"))
+    keys = scan.sections(files).select("file_id", udfs.cos_entries("trailer")["Key"].cast("long").alias("trailer_key"))
+    return scan.headers(files).select("file_id", "origin", "size").join(numbers, "file_id").join(keys, "file_id").withColumn("p_partkey", _key()).drop("file_id")
+
+
+def written_subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the object numbers in the newest section of every supplier's file."""
+    found = scan.entries(updated_files(spark, sf_dir)).where("section_ord = 0 and kind = 'in-use'")
+    runs = rel.runs(found, "file_id", "object_number")
+    return runs.select(_key().alias("l_suppkey"), (F.col("first") - 1).alias("first"), "count")
+
+
+def object_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the objects of a file begin."""
+    found = scan.entries(named_files(spark, sf_dir)).where("kind = 'in-use' and object_number > 1")
+    key = _key() * PARTS_PER_FILE + F.col("object_number") - 2
+    return found.select(key.alias("p_partkey"), F.col("a").alias("offset"))
+
+
 def hybrid_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hybrid's table wins over its stream, which adds what the table lacks."""
     files = hybrid_files(spark, sf_dir)
@@ -431,7 +496,7 @@ QUERIES = {
     for f in (
         hybrid_sections, indirect_lengths, truncated_histories, catalog_versions, created_documents, dangling_references, page_refusals, edited_page_values,
         settled_counts, duplicate_pages, composite_fonts, operand_rules, declared_conformance, page_artifacts, refused_filters, inflate_agreement,
-        newest_sections, files_on_disk, complaints_of_a_rewrite, pinned_manifest, axis_shapes, role_spans, byte_classes, lexical_errors,
+        junk_headers, written_subsections, object_offsets, newest_sections, files_on_disk, complaints_of_a_rewrite, pinned_manifest, axis_shapes, role_spans, byte_classes, lexical_errors,
     )
 }
 
@@ -502,6 +567,15 @@ _MARKS = _count("()<>[]{}/%")
 _VALUES = " + ".join(f"{v} * {_count(d if d.isdigit() else d + d.upper())}" for v, d in enumerate("0123456789abcdef") if v)
 
 ORACLES: dict[str, str] = {
+    "junk_headers": """
+SELECT p_partkey, CASE p_partkey % 2 WHEN 1 THEN strlen(p_name) ELSE 0 END AS origin, 3::BIGINT AS size, p_partkey AS number, p_partkey AS trailer_key FROM part""",
+    "written_subsections": """
+SELECT l_suppkey, min(l_partkey) AS first, count(*) AS count FROM (
+  SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS island
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY l_suppkey, island""",
+    "object_offsets": f"""
+SELECT p_partkey, (49 + coalesce(sum(strlen(p_name) + 17 + length((p_partkey % {PARTS_PER_FILE} + 2)::VARCHAR)) OVER (
+  PARTITION BY p_partkey // {PARTS_PER_FILE} ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM part""",
     "hybrid_sections": "SELECT s_suppkey, s_name AS name, s_suppkey AS number, 'hybrid' AS form, 4::BIGINT AS n_entries FROM supplier",
     "indirect_lengths": """
 SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS text,
