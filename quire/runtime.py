@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
@@ -31,6 +34,18 @@ def ship(spark: SparkSession) -> None:
 
 
 _OWN: dict[str, str] = {}
+#: Folders that no one reads once this process ends.
+_ROOTS: set[str] = set()
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete what this process has written to the shared folder; nothing if its JVM is gone already."""
+    with contextlib.suppress(Exception):
+        jvm = SparkContext._gateway.jvm
+        for root in _ROOTS | set(_OWN.values()):
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,13 +78,15 @@ class Scratch:
 
     ``keep`` writes a DataFrame and reads it back, which cuts its lineage: a
     lost executor costs at most the tasks after the last table.  ``drop``
-    deletes a table that no later step reads.
+    deletes a table that no later step reads; the rest goes when the driver
+    process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _ROOTS.add(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
