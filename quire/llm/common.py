@@ -1,72 +1,30 @@
-"""Shared pieces: Arrow maps, and tables in the folder that the cluster shares."""
+"""Shared pieces: Arrow maps, and joins whose keys may be hot."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..runtime import Scratch, shared_dir
+
+__all__ = ["Scratch", "arrow_rows", "hot_join", "partitions", "pick", "read_table", "shared_dir", "to_batch"]
 
 #: Rows that may be broadcast: small tables whole, or the heaviest keys of a large one.
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only in local mode.
-
-    Raises on a cluster that names none: a folder of one machine would lose
-    its files with that machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="quire-shared-"))
-
-
-class Scratch:
-    """Tables of one query in the shared folder.
-
-    ``keep`` writes a DataFrame and reads it back, which cuts its lineage: a
-    lost executor costs at most the tasks after the last table.  ``drop``
-    deletes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back.quire_path = path
-        return back
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.quire_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def hot_join(
     scratch: Scratch, big: DataFrame, small: DataFrame, on: dict[str, str], weight: str, *, how: str = "inner", rows: int = BROADCAST_ROWS,
-    cheap: bool = False,
+    cheap: bool = False, null_safe: bool = False,
 ) -> DataFrame:
     """Join ``big`` with ``small`` (a written table, one row for each key), however many rows of ``big`` share a key.
 
-    ``on`` maps columns of ``big`` to those of ``small``; nulls are equal.
+    ``on`` maps columns of ``big`` to those of ``small``; nulls are equal if
+    ``null_safe``.  (A plain equality of one integer has the smallest table in
+    memory: the null-safe one takes a whole memory page on every executor.)
     ``weight``, a column of ``small``, bounds the rows of ``big`` with that
     key.  Up to ``rows`` rows are broadcast whole.  Of a larger table the
     heaviest ``rows`` are broadcast, and only rows of ``big`` with other keys
@@ -76,7 +34,7 @@ def hot_join(
     """
     same = F.lit(True)
     for left, right in on.items():
-        same = same & F.col(left).eqNullSafe(F.col(right))
+        same = same & (F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right))
     if small.count() <= rows:
         return big.join(F.broadcast(small), same, how)
     bar = small.select(weight).orderBy(F.desc(weight)).limit(rows + 1).agg(F.min(weight)).first()[0]

@@ -64,7 +64,7 @@ def dedup_lines(
     def over(counted: DataFrame) -> DataFrame:
         """Of (d_host, pages, ...) the rows over the ratio; a host's lines and pages are at most its bytes."""
         repeated = counted.where(F.col("pages") >= min_pages)
-        joined = hot_join(scratch, repeated, totals, {"d_host": "t_host"}, "bytes", rows=broadcast_rows)
+        joined = hot_join(scratch, repeated, totals, {"d_host": "t_host"}, "bytes", rows=broadcast_rows, null_safe=True)
         return joined.where(F.col("pages") * 100 > F.col("total") * ratio_percent).drop("t_host", "total", "bytes")
 
     if spare_copies:
@@ -72,7 +72,7 @@ def dedup_lines(
         pages = digests.where("d_text is not null").groupBy("d_host", "p1", "p2").agg(F.count(F.lit(1)).alias("pages"))
         named = [F.col(a).alias(b) for a, b in (("d_host", "c_host"), ("p1", "c1"), ("p2", "c2"), ("pages", "c_pages"))]
         copies = scratch.keep(over(pages).select(*named), "copies")
-        found = hot_join(scratch, digests, copies, {"d_host": "c_host", "p1": "c1", "p2": "c2"}, "c_pages", how="left", rows=broadcast_rows)
+        found = hot_join(scratch, digests, copies, {"d_host": "c_host", "p1": "c1", "p2": "c2"}, "c_pages", how="left", rows=broadcast_rows, null_safe=True)
         work = found.withColumn("spared", F.col("c1").isNotNull()).select(*work.columns, "spared")
     else:
         work = work.withColumn("spared", F.lit(False))
@@ -86,7 +86,7 @@ def dedup_lines(
         numbered = scratch.keep(work.withColumn("row", F.monotonically_increasing_id()), "numbered")
         lines = numbered.where("not spared").select("row", "d_host", F.explode(_distinct_lines()).alias("line"))
         keyed = lines.select("row", "d_host", F.xxhash64("line").alias("h1"))
-        hits = hot_join(scratch, keyed, boiler, {"d_host": "b_host", "h1": "b_h1"}, "b_pages", how="left_semi", rows=broadcast_rows)
+        hits = hot_join(scratch, keyed, boiler, {"d_host": "b_host", "h1": "b_h1"}, "b_pages", how="left_semi", rows=broadcast_rows, null_safe=True)
         marks = hits.groupBy("row").agg(F.collect_set("h1").alias("marks"))
         marked = numbered.join(marks, "row", "left")
     split = marked.withColumn("lines", F.split("d_text", "\n", -1))

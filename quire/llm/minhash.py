@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
-WORD_MEMO = 400_000
+WORD_MEMO = 100_000
 #: Shingles hashed at once; longer sets are folded block by block.
 BLOCK = 1 << 15
 

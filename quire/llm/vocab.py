@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -113,8 +113,8 @@ def regex_joins(split):
     return lambda pair: len(split(pair)) == 1
 
 
-def library_joins(tokenizer: Tokenizer):
-    return lambda pair: len(tokenizer.pre_tokenizer.pre_tokenize_str(pair)) == 1
+def library_joins(path: str):
+    return lambda pair: len(library(path).pre_tokenizer.pre_tokenize_str(pair)) == 1
 
 
 def rank_joins():
@@ -147,7 +147,11 @@ class Bpe:
         self.special_split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self.whole = whole
         self.classes = classes
-        self.tokens = {i: token for token, i in ranks.items()}
+        self.ranks = ranks
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {i: token for token, i in self.ranks.items()}
 
     def merge(self, pre_token: str) -> list[int]:
         return self.core.encode_single_piece(pre_token.encode())
@@ -191,11 +195,10 @@ def library(path: str) -> Tokenizer:
 
 @lru_cache(maxsize=4)
 def json_bpe(path: str) -> Bpe:
-    """As ``tokenizers`` encodes, without added special tokens."""
+    """As ``tokenizers`` encodes, without added special tokens; the library is loaded where a code point needs it."""
     ranks, special = ranks_of_json(path)
-    tokenizer = library(path)
-    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    classes = Classes(library_joins(tokenizer), rank_joins(), regex_joins(regex.compile(PATTERN).findall))
+    plain = lambda text: library(path).encode(text, add_special_tokens=False).ids
+    classes = Classes(library_joins(path), rank_joins(), regex_joins(regex.compile(PATTERN).findall))
     return Bpe(ranks, special, plain, classes)
 
 

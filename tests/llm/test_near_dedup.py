@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quire.llm import minhash
+from quire.llm import common, minhash, near_dedup
 from quire.llm.near_dedup import near_duplicates
 
 
@@ -57,7 +57,12 @@ def test_edges(spark):
     check(spark, rows)
 
 
-def test_groups_of_near_copies(spark):
+@pytest.mark.parametrize("rows_held", [None, 3])
+def test_groups_of_near_copies(spark, rows_held, monkeypatch):
+    if rows_held:  # every key beyond the third is shuffled, and small groups are split
+        monkeypatch.setattr(common.hot_join, "__kwdefaults__", {**common.hot_join.__kwdefaults__, "rows": rows_held})
+        monkeypatch.setattr(near_dedup, "PART_ROWS", 8)
+        monkeypatch.setattr(near_dedup, "PAIR_ROWS", 8)
     rng = random.Random(3)
     rows = []
     for size, changes in ((2, 1), (5, 3), (40, 5), (120, 6), (60, 9)):
@@ -73,11 +78,12 @@ def test_groups_of_near_copies(spark):
     check(spark, list(enumerate(rows)))
 
 
-def test_documents(spark, sf):
+@pytest.mark.parametrize("width", [4, 5])
+def test_documents(spark, sf, width):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in table.collect()]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark, table, width=5).collect()}
-    assert got == brute(rows, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark, table, width=width).collect()}
+    assert got == brute(rows, width, 80)
 
 
 def test_repeated_and_no_rows(spark):
