@@ -6,9 +6,9 @@ occurrence, and compared without the spaces round them; blank lines are layout
 and always stay.  A line of one page only isn't repeated, so ``min_pages`` is 2.
 
 A page that the site has many times would lose all its text in that way.  With
-``spare_copies`` a page whose whole text is itself over the ratio on its host
-stays whole, so that a later near-dedup can keep one of the copies; any other
-page loses every line over the ratio.
+``spare_copies`` a page stays whole whose whole text is itself over the ratio
+on its host, or of which nothing would be left, so that a later near-dedup can
+keep one of the copies; any other page loses every line over the ratio.
 
 The plan has no Python and never brings a host's pages together.  Lines are
 counted under (host, line) with partial sums.  The boilerplate found is at
@@ -91,7 +91,10 @@ def dedup_lines(
         marked = numbered.join(marks, "row", "left")
     split = marked.withColumn("lines", F.split("d_text", "\n", -1))
     kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("marks", F.xxhash64(F.trim(x))))
-    split = split.withColumn("kept", F.when(F.col("marks").isNull() | F.col("spared"), F.col("lines")).otherwise(kept))
+    whole = F.col("marks").isNull() | F.col("spared")
+    if spare_copies:
+        whole = whole | ~F.exists(kept, lambda x: F.trim(x) != "")
+    split = split.withColumn("kept", F.when(whole, F.col("lines")).otherwise(kept))
     size = lambda c: F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return split.select(
         F.col("d_id").alias(id_col),

@@ -21,7 +21,7 @@ def brute(rows, ratio=5, least=2, spare=False):
         lines = text.split("\n")
         bad = lambda x: pages[host, x] >= least and pages[host, x] * 100 > total[host] * ratio  # noqa: B023, E731
         kept = [x for x in lines if not x.strip(" ") or not bad(x.strip(" "))]
-        if spare and same[host, text] >= least and same[host, text] * 100 > total[host] * ratio:
+        if spare and (same[host, text] >= least and same[host, text] * 100 > total[host] * ratio or not any(x.strip(" ") for x in kept)):
             kept = lines
         out[i].append(("\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
@@ -54,10 +54,10 @@ def test_against_brute_force(spark, sf, broadcast_rows, spare):
 def test_short_pages_lose_their_frame(spark, broadcast_rows):
     frame = "All rights are reserved by the owners of this site."
     rows = [(i, f"own line {i}\n{frame}", "a") for i in range(50)]
-    rows += [(100 + i, "a copied page\nwith two lines", "a") for i in range(20)] + [(200, "a copied page\nand more", "a"), (201, frame, None)]
+    rows += [(100 + i, "a copied page\nwith two lines", "a") for i in range(20)] + [(200, "a copied page\nand more", "a"), (201, frame, None), (202, frame + "\n\na copied page", "a")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in dedup_lines(spark, table, spare_copies=True, broadcast_rows=broadcast_rows).collect()}
-    want = {i: f"own line {i}" for i in range(50)} | {100 + i: "a copied page\nwith two lines" for i in range(20)} | {200: "and more", 201: frame}
+    want = {i: f"own line {i}" for i in range(50)} | {100 + i: "a copied page\nwith two lines" for i in range(20)} | {200: "and more", 201: frame, 202: frame + "\n\na copied page"}
     assert got == want
 
 
