@@ -12,8 +12,8 @@ The tree has as many levels as the deepest path, and a level costs the work
 of the paths that reach it.
 
 Labels come from the rules (a page that a rule blocks is bad, one that a rule
-allows is good) and, where no rule fits, from host names that hold a seed
-word.  The tree is built on distinct typed paths of a host with their counts,
+allows is good), where no rule fits from the labels given, and without any of
+them from host names that hold a seed word.  The tree is built on distinct typed paths of a host with their counts,
 which partial sums combine before any shuffle.  Sums and decisions are small
 tables; the only join of all pages is with their path's verdict.  Hosts, nodes
 and paths that very many rows share are joined by ``common.hot_join``.
@@ -76,21 +76,31 @@ def typed_segments(path: Column) -> Column:
     )
 
 
-def judge(spark: SparkSession, pages: DataFrame, *, rules=RULES, seeds=SEED_WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    spark: SparkSession, pages: DataFrame, *, labels: DataFrame | None = None, rules=RULES, seeds=SEED_WORDS, id_col: str = "page_id",
+    url_col: str = "url", label_col: str = "bad",
+) -> DataFrame:
     """Return (id, host, path, rule, verdict, template), one row for each input row.
 
     ``rule`` is the longest rule that fits, ties to the later in text order,
     else null; a rule's verdict stands, else the template's does.  A null url
     or one without ``://`` has an empty host and path, and is allowed unless
-    the templates of the empty host say otherwise.  Other columns aren't read.
-    """
+    the templates of the empty host say otherwise.  ``labels`` has ids with a
+    boolean; of several for an id true wins.  Other columns aren't read.
+    """
     scratch = Scratch(spark, "url-filter")
     host, path = parse(F.col("url"))
     split = pick(pages, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"))
     fit = split.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("typed", typed_segments(F.col("path")))
     seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in seeds])) if seeds else F.lit(False)
-    bad = (F.col("fit.verdict") == "block") | (F.col("fit").isNull() & seeded)
-    good = F.col("fit.verdict") == "allow"
+    told = F.lit(None).cast("boolean")
+    if labels is not None:
+        known = pick(labels, l_id=id_col, told=label_col).where("l_id is not null and told is not null").groupBy("l_id").agg(F.max("told").alias("told"))
+        fit = scratch.keep(fit.join(known, F.col("id") == F.col("l_id"), "left").drop("l_id"), "labelled")
+        told = F.col("told")
+    free = F.col("fit").isNull()
+    bad = (F.col("fit.verdict") == "block") | (free & F.coalesce(told, seeded))
+    good = (F.col("fit.verdict") == "allow") | (free & ~F.coalesce(told, F.lit(True)))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     paths = fit.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), one(bad).alias("bad"), one(good).alias("good"))
     paths = scratch.keep(paths.withColumn("segments", F.col("typed")), "paths")

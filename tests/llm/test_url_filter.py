@@ -51,3 +51,12 @@ def test_cases(spark):
     assert got["http://deep.casino.io/2024/05/12/section/slug3/x"].template == "/{n}/{n}/{n}/section/{*}/x"
     assert got["http://deep.io/" + "a/" * 15 + "b"].template == "/" + "a/" * 15 + "b"
     assert url_filter.judge(spark, table.limit(0)).count() == 0
+
+
+def test_given_labels(spark):
+    urls = [f"http://shop.io/{kind}/item{chr(97 + i)}" for kind in ("offers", "guides") for i in range(20)] + ["http://shop.io/offers/new", "http://shop.io/guides/new", None]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(i, i < 20) for i in range(40) if i % 2] + [(1, False), (None, True), (3, None)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark, table, labels=spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert [got[i] for i in (0, 1, 20, 21, 40, 41, 42)] == ["block", "block", "allow", "allow", "block", "allow", "allow"]
+    assert url_filter.judge(spark, table, labels=spark.createDataFrame([], "page_id long, bad boolean")).count() == len(urls)
