@@ -55,11 +55,39 @@ def flatten(value: Any, path: str = "") -> list[tuple[str, str, str]]:
     return sorted(out)
 
 
+def same(one: Any, other: Any) -> bool:
+    """Whether two values flatten to the same, without flattening them."""
+    waiting = [(one, other)]
+    while waiting:
+        a, b = waiting.pop()
+        if a is b:
+            continue
+        if type(a) is not type(b):
+            return False
+        if isinstance(a, Stream):
+            if a.raw != b.raw:
+                return False
+            a, b = ({k: v for k, v in x.dict.items() if k != "Length"} for x in (a, b))
+        if isinstance(a, dict):
+            if a.keys() != b.keys():
+                return False
+            waiting.extend((v, b[k]) for k, v in a.items())
+        elif isinstance(a, list):
+            if len(a) != len(b):
+                return False
+            waiting.extend(zip(a, b))
+        elif a != b and repr(a) != repr(b):
+            return False
+        elif isinstance(a, float) and repr(a) != repr(b):
+            return False
+    return True
+
+
 def first_difference(before: files.Document, after: files.Document) -> str | None:
     """Where the written document differs from its source; None if nowhere."""
     for number, generation, value in before.collect():
         other = after.get(number, generation)
-        if flatten(value) != flatten(other):
+        if not same(value, other):
             found = sorted(set(flatten(value)) ^ set(flatten(other)))[0]
             return f"{number} {generation}{found[0]}"
         for side in (value, other):
@@ -70,7 +98,11 @@ def first_difference(before: files.Document, after: files.Document) -> str | Non
 
 def round_trip(data: bytes, xref: writer.Form, object_streams: bool) -> tuple[str, str | None]:
     """(outcome, detail): ok, mismatch, write-failed, reparse-failed, unreadable or not-measurable."""
-    before, problem = try_parse(data)
+    return rewrite_outcome(*try_parse(data), xref, object_streams)
+
+
+def rewrite_outcome(before: files.Document | None, problem: str | None, xref: writer.Form, object_streams: bool) -> tuple[str, str | None]:
+    """The outcome for a document that :func:`try_parse` has read."""
     if before is None:
         return "unreadable", problem
     try:

@@ -306,12 +306,16 @@ def round_trips(files: DataFrame) -> DataFrame:
     """(file_id, mode, outcome, detail) of writing every file anew in the three forms."""
 
     def work(file_id, content):
-        for mode, xref, packed in survey.MODES:
+        def guarded(step, *args):
             try:
-                outcome = survey.round_trip(bytes(content or b""), xref, packed)
+                return step(*args)
             except Exception as error:  # noqa: BLE001
-                outcome = "unreadable", f"{type(error).__name__}: {error}"
-            yield file_id, mode, *outcome
+                return None, f"{type(error).__name__}: {error}"
+
+        document, problem = guarded(survey.try_parse, bytes(content or b""))
+        for mode, xref, packed in survey.MODES:
+            outcome, detail = guarded(survey.rewrite_outcome, document, problem, xref, packed)
+            yield file_id, mode, outcome or "unreadable", detail
 
     return map_rows(files.select("file_id", "content"), "file_id string, mode string, outcome string, detail string", work)
 

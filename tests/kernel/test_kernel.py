@@ -392,3 +392,13 @@ def test_editor_lists_what_changed():
     made.delete(refs[1].number)
     made.set(9, None)
     assert [n for n, _, _ in made.changed()] == [1, 2, 3, 5, 9] and made.deleted() == [(4, 1)] and made.dirty
+
+
+def test_same_is_equal_flattening():
+    values = [
+        1, 1.0, True, None, 0, 0.0, -0.0, float("nan"), Name("a"), PdfString(b"a"), PdfString(b"a", "hex"), Ref(1), Ref(1, 1), [], [1], [1.0], {}, {"a": 1}, {"a": None},
+        {"b": [1, {"c": 2}]}, {"b": [1, {"c": 2.0}]}, Stream({}, b""), Stream({"Length": 3}, b""), Stream({"Length": 3}, b"x"), Stream({"A": {"Length": 1}}, b""),
+    ]
+    for a in values:
+        for b in values:
+            assert survey.same(a, b) == (survey.flatten(a) == survey.flatten(b)), (a, b)
