@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import centroids, minhash
-from .common import Scratch, hot_join, pick
+from .common import Scratch, hash_sample, hot_join, pick
 
 LIST_ROWS = 400
 MAX_LISTS = 4096
@@ -88,7 +88,7 @@ def _search(scratch: Scratch, table: DataFrame, dim: int, top: float, k: int, ev
 
     total = entries.count()
     lists = min(MAX_LISTS, max(1, math.ceil(total / LIST_ROWS)))
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
+    sample = hash_sample(entries, "entry", SAMPLE_ROWS, total).select("vector").toPandas()["vector"]
     index = centroids.Graph(centroids.balanced_centroids(lifted(sample, dim, top), lists))
     if ratio is None:
         ratio = measured_ratio(index, sample, dim, top, k)

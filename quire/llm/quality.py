@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, to_batch
+from .common import Scratch, hash_sample, pick, to_batch
 from .minhash import mix64
 
 LABELLED_ROWS = 8_000
@@ -290,14 +290,17 @@ def fit(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality",
 ) -> CoTrained | None:
-    """Co-train on at most ``labelled_rows`` labelled documents and all others; a repeated id is one document here."""
+    """Co-train on at most ``labelled_rows`` labelled documents and all others.
+
+    A repeated id is one document here; of contradicting labels the worse holds.
+    """
     scratch = Scratch(spark, "quality")
     known = pick(labels, s_id=id_col, y=label_col).where("s_id is not null and y is not null")
     known = known.select("s_id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
-    known = known.orderBy(F.xxhash64("s_id"), "s_id", "y").limit(labelled_rows)
-    if known.isEmpty():
+    total = known.count()
+    if not total:
         return None
-    known = scratch.keep(known, "known")
+    known = scratch.keep(hash_sample(known, "s_id", labelled_rows, total).groupBy("s_id").agg(F.min("y").alias("y")), "known")
     work = pick(docs, id=id_col, text=text_col, source=source_col, lang=lang_col).where("id is not null")
     rows = scratch.keep(features(work), "features")
     taught = rows.join(F.broadcast(known), F.col("id") == F.col("s_id"))  # at most labelled_rows ids
