@@ -22,12 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, hot_join, pick
+from .common import Scratch, arrow_rows, heavier, pick
 
 #: Samples of one image row: 64 pixels of 3 channels, 8 bits each.
 ROW_BYTES = 192
 #: Digests that a task remembers in order to store a payload once; beyond that copies are stored again and merged later.
 SEEN = 50_000
+#: Digests whose records are broadcast.
+HOT = 1000
 
 ITEM = "struct<position:int, kind:string, text:string, digest:string, caption:string>"
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -145,16 +147,20 @@ def parse_sequences(pages: DataFrame, *, id_col: str, html_col: str) -> DataFram
 def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch: Scratch | None = None) -> DataFrame:
     """(row, id, position, digest, caption, *record) for every media reference.
 
-    ``media`` has one row for each digest.  A digest that very many references
-    name is broadcast with its record (``common.hot_join``).  A reference
-    without payload keeps its place with null record columns.
+    ``media`` has one row for each digest.  The ``HOT`` digests that most
+    references name are broadcast with their records; of any other digest a
+    task gets not many more than (references / HOT) rows.  A reference without payload
+    keeps its place with null record columns.
     """
     scratch = scratch or Scratch(sequences.sparkSession, "media")
     refs = sequences.select(F.col(f"`{id_col}`"), F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = refs.select(F.col(f"`{id_col}`"), F.col("item.position").alias("position"), F.col("item.digest").alias("ref"), F.col("item.caption").alias("caption"))
-    named = refs.groupBy(F.col("ref").alias("named")).agg(F.count(F.lit(1)).alias("n_refs"))
-    wanted = scratch.keep(media.join(named, F.col("digest") == F.col("named")).drop("named"), "wanted")
-    return hot_join(scratch, refs, wanted, {"ref": "digest"}, "n_refs", how="left", cheap=True).drop("digest", "n_refs").withColumnRenamed("ref", "digest")
+    counts = scratch.keep(refs.groupBy(F.col("ref").alias("hot")).agg(F.count(F.lit(1)).alias("n_refs")).where("n_refs > 1"), "counts")
+    hot = F.broadcast(counts.where(heavier(counts, "n_refs", HOT)).select("hot"))
+    records = F.broadcast(media.join(hot, F.col("digest") == F.col("hot"), "left_semi"))
+    frequent = refs.join(hot, F.col("ref") == F.col("hot"), "left_semi").join(records, F.col("ref") == F.col("digest"), "left")
+    other = refs.join(hot, F.col("ref") == F.col("hot"), "left_anti").join(media, F.col("ref") == F.col("digest"), "left")
+    return frequent.unionByName(other).drop("digest").withColumnRenamed("ref", "digest")
 
 
 def interleave(sequences: DataFrame, media: DataFrame, *, id_col: str, scratch: Scratch) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quire.llm import common, media
+from quire.llm import media
 from quire.llm.common import Scratch
 
 TEXTS = [None, "", " ", "a", "x" * 192, "x" * 193, "ünï\x00cödé" * 50, "same", "same", "z" * 100_000]
@@ -71,9 +71,9 @@ def test_real_pages_keep_all_text_in_order(spark, sf):
         assert sorted("".join(words)) == sorted("".join(" ".join(x.text for x in items).split()))
 
 
-@pytest.mark.parametrize("rows", [50_000, 2])
-def test_sequences_are_whole_again(spark, rows, monkeypatch):
-    monkeypatch.setattr(common.hot_join, "__kwdefaults__", {**common.hot_join.__kwdefaults__, "rows": rows})
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_sequences_are_whole_again(spark, hot, monkeypatch):
+    monkeypatch.setattr(media, "HOT", hot)
     a, b = "a" * 64, "b" * 64
     told = [
         (1, f'<p>one<img src="sha256:{b}" alt="x">two<img src="sha256:{a}">' + "".join(f'<p>{k}<img src="sha256:{b}">' for k in range(20)) + "<p>end"),
