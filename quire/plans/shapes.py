@@ -17,7 +17,7 @@ from ..kernel.content import ContentError, ContentStream
 from ..kernel.editor import Editor
 from ..kernel.values import Name, PdfError, PdfString, Ref, Refusal, Stream
 from ..operators import relational as rel
-from ..runtime import shared_dir
+from ..runtime import Scratch
 from ..sources import scan, sink
 from ..sources.arrow import map_groups, map_rows
 from . import corpora
@@ -432,7 +432,7 @@ def newest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files stored below folders and found again whatever the case of their suffix."""
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + f"/quire-disk-{zlib.crc32(sf_dir.encode())}"
+    folder = Scratch(spark, "disk").root.removeprefix("file://").removeprefix("file:")
     suffix = F.when(_key() % 3 == 0, ".txt").when(_key() % 3 == 1, ".pdf").otherwise(".PDF")
     named = hybrid_files(spark, sf_dir).withColumn("name", F.concat((_key() % 7).cast("string"), F.lit("/"), F.col("file_id"), suffix))
     n = sink.write_files(named, folder).agg(F.count(F.lit(1)).alias("n")).first()["n"]
