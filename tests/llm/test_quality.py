@@ -96,6 +96,8 @@ def test_edges(spark, corpus):
     odd = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "", "", ""), (None, "x " * 100_000, "en", "a")], docs.drop("y").schema)
     model = quality.fit(spark, docs, labels)
     assert quality.score(spark, odd, model).count() == 4
+    twice = labels.union(labels.limit(30).selectExpr("doc_id", "0 AS quality"))
+    assert quality.classify(spark, docs.limit(20), twice).count() == 20
     for no_labels in (labels.limit(0), labels.where("quality = 1")):
         rows = quality.classify(spark, docs.limit(20), no_labels).collect()
         assert len(rows) == 20 and all(r.keep and r.quality_p is None for r in rows)
