@@ -97,19 +97,33 @@ def created_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_groups(rows, ["c_nationkey", "bucket"], FILE, work)
 
 
+#: Orders that share a file.
+ORDERS_PER_FILE = 256
+
+
 @stored
 def shared_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each order; its lines are kids of the page tree, and equal parts of two lines are one page."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    """A page-tree node for each order; its lines are kids, and lines of a part and of the even part below it are one page."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("bucket"))
 
     def work(key, found):
-        parts = sorted({r["l_partkey"] for r in found})
-        kids = [Ref(3 + parts.index(r["l_partkey"] // 2 * 2 if r["l_partkey"] // 2 * 2 in parts else r["l_partkey"])) for r in sorted(found, key=lambda r: r["l_linenumber"])]
-        pages = [(3 + k, 0, {"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, 9, 9], "Resources": {}}) for k in range(len(parts))]
-        root = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
-        return [(str(key[0]), writer.write_file([(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2)}), (2, 0, root), *pages], ROOT))]
+        orders: dict[int, list[dict]] = {}
+        for r in sorted(found, key=lambda r: (r["l_orderkey"], r["l_linenumber"])):
+            orders.setdefault(r["l_orderkey"], []).append(r)
+        objects, tops, total = [], [], 0
+        for lines in orders.values():
+            node = Ref(3 + len(objects))
+            parts = {r["l_partkey"] for r in lines}
+            shown = [r["l_partkey"] // 2 * 2 if r["l_partkey"] // 2 * 2 in parts else r["l_partkey"] for r in lines]
+            numbers = {part: Ref(node.number + 1 + k) for k, part in enumerate(sorted(set(shown)))}
+            objects.append((node.number, 0, {"Type": Name("Pages"), "Parent": Ref(2), "Kids": [numbers[p] for p in shown], "Count": len(shown)}))
+            objects += [(n.number, 0, {"Type": Name("Page"), "Parent": node, "MediaBox": [0, 0, 9, 9], "Resources": {}}) for n in numbers.values()]
+            tops.append(node)
+            total += len(shown)
+        root = {"Type": Name("Pages"), "Kids": tops, "Count": total}
+        return [(str(key[0]), writer.write_file([(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2)}), (2, 0, root), *objects], ROOT))]
 
-    return map_groups(rows, ["l_orderkey"], FILE, work)
+    return map_groups(rows, ["bucket"], FILE, work)
 
 
 @stored
@@ -355,10 +369,11 @@ def settled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kids that the page tree lists again, by a window over the lists and by the walk."""
     files = shared_page_files(spark, sf_dir)
-    kids = scan.nodes(files).where("path like '/Kids[%' and kind = 'ref'").select("file_id", "ref_num", "ordinal")
-    later = rel.later_visits(kids, ["file_id", "ref_num"], "ordinal").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_later"))
+    kids = scan.nodes(files).where("path like '/Kids[%' and kind = 'ref'").select("file_id", "object_number", "ref_num", "ordinal")
+    visits = kids.withColumn("visit", F.struct("object_number", "ordinal"))
+    later = rel.later_visits(visits, ["file_id", "ref_num"], "visit").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_later"))
     walked = scan.violations(files).where(F.col("clause") == pagetree.DUPLICATE).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_walked"))
-    return later.join(walked, "file_id", "full_outer").select(_key().alias("l_orderkey"), "n_later", "n_walked")
+    return later.join(walked, "file_id", "full_outer").select(_key().alias("bucket"), "n_later", "n_walked")
 
 
 def composite_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,10 +617,13 @@ SELECT c_custkey, CAST(coalesce(CASE WHEN c_custkey % 5 = 0 THEN 90 * (c_custkey
     "settled_counts": f"""
 SELECT nation, sum(n + 1)::BIGINT AS before, sum(n)::BIGINT AS after FROM (
   SELECT n_name AS nation, c_custkey // {corpora.PAGES_PER_FILE} AS bucket, count(*) AS n FROM {_CUSTOMERS} WHERE n_nationkey % 5 = 0 GROUP BY ALL) GROUP BY nation""",
-    "duplicate_pages": """
-WITH k AS (SELECT l_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_partkey = l.l_partkey // 2 * 2)
-  THEN l_partkey // 2 * 2 ELSE l_partkey END AS kid FROM lineitem l)
-SELECT l_orderkey, count(*) - count(DISTINCT kid) AS n_later, count(*) - count(DISTINCT kid) AS n_walked FROM k GROUP BY l_orderkey HAVING count(*) > count(DISTINCT kid)""",
+    "duplicate_pages": f"""
+WITH k AS (SELECT l_orderkey, CASE WHEN o.l_partkey IS NOT NULL THEN o.l_partkey ELSE l.l_partkey END AS kid
+  FROM lineitem l LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) o USING (l_orderkey) WHERE o.l_partkey = l.l_partkey // 2 * 2
+  UNION ALL SELECT l_orderkey, l_partkey FROM lineitem l WHERE NOT EXISTS (
+    SELECT 1 FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_partkey = l.l_partkey // 2 * 2)),
+d AS (SELECT l_orderkey, count(*) - count(DISTINCT kid) AS n FROM k GROUP BY l_orderkey)
+SELECT l_orderkey // {ORDERS_PER_FILE} AS bucket, sum(n)::BIGINT AS n_later, sum(n)::BIGINT AS n_walked FROM d GROUP BY 1 HAVING sum(n) > 0""",
     "composite_fonts": f"""
 SELECT p_partkey, CASE WHEN kind < 4 THEN CASE WHEN p_partkey % 2 = 0 THEN tag ELSE '' END || 'Face' END AS base,
   CASE kind WHEN 0 THEN 'CIDFontType2' WHEN 1 THEN 'CIDFontType2' WHEN 2 THEN 'CIDFontType0' WHEN 3 THEN 'CIDFontType0' END AS subtype,
