@@ -99,8 +99,11 @@ def _undo_sequential(tag: int, body: list[int], above: list[int], step: int) ->
 
 def paeth(left: int, up: int, corner: int) -> int:
     """The neighbour nearest to left + up - corner; ties go left, up, corner."""
-    target = left + up - corner
-    return min((left, up, corner), key=lambda x: abs(target - x))
+    from_left, from_up = abs(up - corner), abs(left - corner)
+    from_corner = abs(left + up - 2 * corner)
+    if from_left <= from_up and from_left <= from_corner:
+        return left
+    return up if from_up <= from_corner else corner
 
 
 def png_rows(data: bytes, columns: int, tags: tuple[int, ...] = (2,)) -> bytes:

@@ -23,6 +23,7 @@ _NAME_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
 _STRING_PART = re.compile(rb"[^()\\\r]+")
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12, ord("("): 40, ord(")"): 41, ord("\\"): 92}
 _HEX = frozenset(b"0123456789abcdefABCDEF")
+_NOT_HEX = re.compile(rb"[^0-9a-fA-F]")
 
 
 def is_whitespace(byte: int) -> bool:
@@ -216,10 +217,10 @@ def _read_hex(cursor: Cursor) -> bytes:
     if end < 0:
         raise LexError("a hexadecimal string has no end", start)
     body = cursor.data[start + 1 : end]
-    digits = bytes(b for b in body if b not in WHITESPACE)
-    for b in digits:
-        if b not in _HEX:
-            raise LexError(f"{chr(b)!r} in a hexadecimal string", start + 1 + body.index(b))
+    digits = body.translate(None, b"\x00\t\n\x0c\r ")
+    odd = _NOT_HEX.search(digits)
+    if odd:
+        raise LexError(f"{chr(odd[0][0])!r} in a hexadecimal string", start + 1 + body.index(odd[0]))
     cursor.pos = end + 1
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 

@@ -136,11 +136,15 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), FILE, work)
 
 
+#: Event ids that share a user's file, which bounds its revisions.
+EVENTS_PER_FILE = 10_000
+
+
 @stored
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of one object that every event of a user revises, at most a thousand revisions each."""
+    """Files of one object that every event of a user revises."""
     events = table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value", F.floor(F.col("event_id") / 1000).alias("bucket")
+        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value", F.floor(F.col("event_id") / EVENTS_PER_FILE).alias("bucket")
     )
 
     def work(key, rows):

@@ -654,7 +654,7 @@ SELECT conv_id, page, rules AS bmc, items + heads AS bdc, items + heads + rules
 SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 3) THEN p_name END AS text, CASE p_partkey % 4 WHEN 1 THEN 'the filter LZWDecode isn''t supported'
   WHEN 2 THEN 'FlateDecode: the data is cut off' END AS error, 'FlateDecode isn''t written; pass no filter' AS encoding FROM part""",
     "inflate_agreement": "SELECT p_partkey, false AS differs, p_partkey % 4 = 0 AS readable FROM part",
-    "newest_sections": "SELECT user_id, count(DISTINCT event_id // 1000) AS n_files FROM events GROUP BY user_id",
+    "newest_sections": f"SELECT user_id, count(DISTINCT event_id // {corpora.EVENTS_PER_FILE}) AS n_files FROM events GROUP BY user_id",
     "files_on_disk": """
 SELECT suffix, count(*) AS n_files, any_value(total) AS n_written FROM (
   SELECT CASE s_suppkey % 3 WHEN 0 THEN '.txt' ELSE '.pdf' END AS suffix, (SELECT count(*) FROM supplier) AS total FROM supplier) WHERE suffix = '.pdf' GROUP BY suffix""",
