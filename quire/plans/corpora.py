@@ -16,7 +16,7 @@ from ..kernel import filters, writer
 from ..kernel.content import ContentStream
 from ..kernel.structure import StructureTree
 from ..kernel.values import Name, PdfString, Ref, Stream
-from ..runtime import Scratch, exists, shared_dir
+from ..runtime import Scratch, exists, shared_dir, spread
 from ..sources.arrow import map_groups, map_rows
 
 #: Pixels of a predicted row.
@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work in Python on every row."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 @stored
 def page_files(spark: SparkSession, sf_dir: str, *, defects: bool = False) -> DataFrame:
     """(file_id, region, content): a page tree of region, nations and customers.
@@ -133,7 +138,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             objects.append((number, 0, Stream({"Filter": [Name("FlateDecode")], "DL": len(data), **more}, zlib.compress(rows, 1))))
         yield str(doc_id), writer.write_file(objects, {"Root": Ref(1)})
 
-    return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), FILE, work)
+    return map_rows(rows_of(spark, sf_dir, "documents", "doc_id", "text"), FILE, work)
 
 
 #: Event ids that share a user's file, which bounds its revisions.
@@ -246,4 +251,4 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             data = data.replace(b" 00000 n \n", b" 00000 n\n")
         yield f"{key:09d}", data
 
-    return map_rows(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), FILE, work)
+    return map_rows(rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_name"), FILE, work)

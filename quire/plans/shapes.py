@@ -21,7 +21,7 @@ from ..runtime import Scratch
 from ..sources import scan, sink
 from ..sources.arrow import map_groups, map_rows
 from . import corpora
-from .corpora import FILE, stored, table
+from .corpora import FILE, rows_of, stored, table
 
 CATALOG = (1, 0, {"Type": Name("Catalog")})
 ROOT = {"Root": Ref(1)}
@@ -38,20 +38,20 @@ def _key() -> Column:
 
 @stored
 def hybrid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     return map_rows(rows, FILE, lambda k, name: [(str(k), fixture.hybrid_file((name or "").encode(), k))])
 
 
 @stored
 def length_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = rows_of(spark, sf_dir, "part", "p_partkey", "p_name")
     return map_rows(rows, FILE, lambda k, name: [(str(k), fixture.length_file((name or "").encode(), k % 3))])
 
 
 @stored
 def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = fixture.HISTORIES
-    return map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), FILE, lambda k: [(str(k), fixture.history_file(k, kinds[k % len(kinds)]))])
+    return map_rows(rows_of(spark, sf_dir, "supplier", "s_suppkey"), FILE, lambda k: [(str(k), fixture.history_file(k, kinds[k % len(kinds)]))])
 
 
 VERSIONS = (None, "1.3", "1.7", "2.0", "x")
@@ -66,7 +66,7 @@ def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = {"Type": Name("Catalog"), "Empty": None} | ({} if named is None else {"Version": Name(named)})
         yield str(k), writer.write_file([(1, 0, catalog)], ROOT, version="1.4")
 
-    return map_rows(table(spark, sf_dir, "customer").select("c_custkey"), FILE, work)
+    return map_rows(rows_of(spark, sf_dir, "customer", "c_custkey"), FILE, work)
 
 
 @stored
@@ -147,7 +147,7 @@ def font_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects[0] = (1, 0, {"Type": Name("Catalog"), "Notes": PdfString(",".join(notes).encode())})
         yield str(k), writer.write_file(objects, ROOT), None
 
-    return map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), f"{FILE}, error string", work)
+    return map_rows(rows_of(spark, sf_dir, "part", "p_partkey", "p_name"), f"{FILE}, error string", work)
 
 
 @stored
@@ -171,7 +171,7 @@ def drawn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             return
         yield str(k), writer.write_file([(1, 0, {"Type": Name("Catalog"), **seen}), (2, 0, Stream({}, body))], ROOT), None
 
-    return map_rows(table(spark, sf_dir, "customer").select("c_custkey"), f"{FILE}, error string", work)
+    return map_rows(rows_of(spark, sf_dir, "customer", "c_custkey"), f"{FILE}, error string", work)
 
 
 @stored
@@ -193,7 +193,7 @@ def declared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = {"Type": Name("Catalog"), "Metadata": Ref(2), "Checked": len(told.checked), "Unchecked": len(told.unchecked) > 0, **told.catalog_entries}
         yield str(k), writer.write_file([(1, 0, catalog), (2, 0, Stream({"Type": Name("Metadata")}, told.xmp))], ROOT), None
 
-    return map_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), f"{FILE}, error string", work)
+    return map_rows(rows_of(spark, sf_dir, "customer", "c_custkey", "c_name"), f"{FILE}, error string", work)
 
 
 FILTERS = (["FlateDecode"], ["LZWDecode"], ["FlateDecode"], [])
@@ -209,7 +209,7 @@ def filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = (packed, data, packed[:-2], data)[k % len(FILTERS)]
         yield str(k), fixture.filter_file(body, FILTERS[k % len(FILTERS)])
 
-    return map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILE, work)
+    return map_rows(rows_of(spark, sf_dir, "part", "p_partkey", "p_name"), FILE, work)
 
 
 EOLS = (b" \n", b"\r\n", b" \r")
@@ -223,7 +223,7 @@ def junk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         bodies = {2: b"2 0 obj\n%d\nendobj\n" % k, 1: fixture.CATALOG}
         yield str(k), fixture.table_file(bodies, junk=(name or "").encode() * (k % 2), eol=EOLS[k % 3], more=b"/Key %d" % k)
 
-    return map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILE, work)
+    return map_rows(rows_of(spark, sf_dir, "part", "p_partkey", "p_name"), FILE, work)
 
 
 @stored

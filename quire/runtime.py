@@ -33,6 +33,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores, for costly work on its rows; one that has them isn't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 _OWN: dict[str, str] = {}
 #: Folders that no one reads once this process ends.
 _ROOTS: set[str] = set()

@@ -52,7 +52,11 @@ def map_rows(df: DataFrame, schema: str, work: Callable[..., Iterable[tuple]]) -
 
 
 def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[tuple, list[dict]], Iterable[tuple]]) -> DataFrame:
-    """Call ``work`` with the key and the rows of every group; groups must be bounded by their keys."""
+    """Call ``work`` with the key and the rows of every group; groups must be bounded by their keys.
+
+    Groups are dealt to the session's number of shuffle partitions, which
+    stay apart however few bytes they have, since the work is what costs.
+    """
     target = arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
@@ -60,6 +64,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[tupl
         key = tuple(rows[0][k] for k in keys)
         return table_of(list(work(key, rows)), target)
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.groupBy(*keys).applyInArrow(run, schema)
 
 
