@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread
 from . import ann, bpe_chunks, html_extract, line_dedup, media, near_dedup, packing, quality, token_count, url_filter
 from .common import read_table
 
@@ -13,19 +14,19 @@ BPE_RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_dedup.near_duplicates(spark, spread(read_table(spark, sf_dir, "documents")), width=4, percent=80)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, limit=512)
+    return token_count.count_tokens(spark, spread(read_table(spark, sf_dir, "documents")), BPE_JSON, limit=512)
 
 
 def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.document_media(spark, read_table(spark, sf_dir, "documents"))
+    return media.document_media(spark, spread(read_table(spark, sf_dir, "documents")))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    docs, labels = spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels")
     return quality.classify(spark, docs, labels)
 
 
@@ -42,15 +43,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode_decode_digests(read_table(spark, sf_dir, "documents"), BPE_RANKS)
+    return bpe_chunks.encode_decode_digests(spread(read_table(spark, sf_dir, "documents")), BPE_RANKS)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), BPE_JSON, capacity=2048)
+    return packing.pack_documents(spark, spread(read_table(spark, sf_dir, "documents")), BPE_JSON, capacity=2048)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(spark, read_table(spark, sf_dir, "pages"))
+    return html_extract.extract(spark, spread(read_table(spark, sf_dir, "pages")))
 
 
 QUERIES = {
