@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.llm import line_dedup, near_dedup, packing, quality
 from quire.llm.catalog import BPE_JSON
 from quire.llm.common import Scratch, read_table
+from quire.runtime import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
