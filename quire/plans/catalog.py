@@ -38,7 +38,7 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def descendant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts by frontier joins over references instead of the walk in the kernel."""
     files = corpora.page_files(spark, sf_dir)
-    nodes = scan.nodes(files).select("file_id", "object_number", "path", "kind", "key", "ref_num", "bytes_v")
+    nodes = scan.nodes(files, ("Kids", "Label")).select("file_id", "object_number", "path", "kind", "key", "ref_num", "bytes_v")
     kids = nodes.where("path like '/Kids[%' and kind = 'ref'").select("file_id", F.col("object_number").alias("parent"), F.col("ref_num").alias("child"))
     inner = kids.select("file_id", F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
     edges = kids.join(inner, ["file_id", "child"], "left").withColumn("is_page", F.col("inner").isNull()).drop("inner")
@@ -84,7 +84,7 @@ def count_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def declared_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose /Parent isn't the node that lists them, by joins."""
     files = corpora.page_files(spark, sf_dir, defects=True)
-    nodes = scan.nodes(files).select("file_id", "object_number", "path", "kind", "ref_num", "int_v")
+    nodes = scan.nodes(files, ("Kids", "Key", "Parent")).select("file_id", "object_number", "path", "kind", "ref_num", "int_v")
     edges = nodes.where("path like '/Kids[%' and kind = 'ref'").select("file_id", F.col("object_number").alias("parent"), F.col("ref_num").alias("child"))
     keys = nodes.where("path = '/Key'").select("file_id", F.col("object_number").alias("child"), F.col("int_v").cast("long").alias("c_custkey"))
     own = nodes.where("path = '/Parent' and kind = 'ref'").select("file_id", F.col("object_number").alias("child"), F.col("ref_num").alias("declared"))

@@ -369,7 +369,7 @@ def settled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kids that the page tree lists again, by a window over the lists and by the walk."""
     files = shared_page_files(spark, sf_dir)
-    kids = scan.nodes(files).where("path like '/Kids[%' and kind = 'ref'").select("file_id", "object_number", "ref_num", "ordinal")
+    kids = scan.nodes(files, ("Kids",)).where("path like '/Kids[%' and kind = 'ref'").select("file_id", "object_number", "ref_num", "ordinal")
     visits = kids.withColumn("visit", F.struct("object_number", "ordinal"))
     later = rel.later_visits(visits, ["file_id", "ref_num"], "visit").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_later"))
     walked = scan.violations(files).where(F.col("clause") == pagetree.DUPLICATE).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_walked"))

@@ -175,8 +175,8 @@ def count_corrections(files: DataFrame) -> DataFrame:
     return _scan(files, "file_id string, object_number long, generation int, before string, after string", rows)
 
 
-def flat_nodes(file_id, number, generation, value) -> Iterable[tuple]:
-    """A value and all inside it in pre-order, as rows of the node table.
+def flat_nodes(file_id, number, generation, value, keys=None) -> Iterable[tuple]:
+    """A value and all inside it in pre-order, as rows of the node table; with ``keys`` only what is at or below those of its entries.
 
     A path goes back to the object, or to the nearest value above at a depth
     that ``PATH_DEPTH`` divides, which it names by node; so paths stay short
@@ -188,27 +188,28 @@ def flat_nodes(file_id, number, generation, value) -> Iterable[tuple]:
         item, parent, depth, path, key, ordinal = waiting.pop()
         kind = kind_of(item)
         own, node_id = node_id, node_id + 1
-        yield (
-            file_id, number, generation, own, parent, depth, path, key, ordinal, kind, item if kind == "boolean" else None,
-            item if kind == "integer" and abs(item) < 10**38 else None, str(item) if kind == "integer" and abs(item) >= 10**38 else None,
-            item if kind == "real" else None, str(item) if kind == "name" else None,
-            item.data if kind == "string" else item.raw if kind == "stream" else None, item.form if kind == "string" else None,
-            item.number if kind == "ref" else None, item.generation if kind == "ref" else None,
-        )
+        if depth or keys is None:
+            yield (
+                file_id, number, generation, own, parent, depth, path, key, ordinal, kind, item if kind == "boolean" else None,
+                item if kind == "integer" and abs(item) < 10**38 else None, str(item) if kind == "integer" and abs(item) >= 10**38 else None,
+                item if kind == "real" else None, str(item) if kind == "name" else None,
+                item.data if kind == "string" else item.raw if kind == "stream" else None, item.form if kind == "string" else None,
+                item.number if kind == "ref" else None, item.generation if kind == "ref" else None,
+            )
         inside = item.dict if isinstance(item, Stream) else item
         if depth and depth % PATH_DEPTH == 0:
             path = f"#{own}"
         if isinstance(inside, dict):
-            below = [(v, own, depth + 1, f"{path}/{k}", str(k), i) for i, (k, v) in enumerate(inside.items())]
-        elif isinstance(inside, list):
+            below = [(v, own, depth + 1, f"{path}/{k}", str(k), i) for i, (k, v) in enumerate(inside.items()) if depth or keys is None or k in keys]
+        elif isinstance(inside, list) and (depth or keys is None):
             below = [(v, own, depth + 1, f"{path}[{i}]", None, i) for i, v in enumerate(inside)]
         else:
             continue
         waiting.extend(reversed(below))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """One row for every value inside every live object."""
+def nodes(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for every value inside every live object, or only for those at or below the named entries of dictionaries."""
 
     def rows(file_id, d):
         for number, generation, _ in d.live():
@@ -216,7 +217,7 @@ def nodes(files: DataFrame) -> DataFrame:
                 value = d.get(number, generation)
             except PdfError:
                 continue
-            yield from flat_nodes(file_id, number, generation, value)
+            yield from flat_nodes(file_id, number, generation, value, keys)
 
     return _scan(files, NODE, rows)
 

@@ -32,6 +32,8 @@ def test_tables(found):
     assert {r.file_id: r.layer for r in scan.errors(found).collect()} == {"bad": "parse", "none": "parse", "empty": "parse"}
     assert scan.objects(found).count() == 4
     nodes = {(r.object_number, r.path): r for r in scan.nodes(found).collect()}
+    some = {(r.object_number, r.path) for r in scan.nodes(found, ("Kids", "Count")).collect()}
+    assert some == {k for k in nodes if k[1].startswith(("/Kids", "/Count"))} and len(some) == 4
     assert nodes[2, "/Kids[1]"].ref_num == 4 and nodes[2, "/Count"].int_v == 5 and nodes[2, ""].kind == "dict"
     assert [(r.page_index, r.inherited["Rotate"]) for r in scan.pages(found).collect()] == [(0, "90"), (1, "45")]
     assert [(r["count"], r.declared) for r in scan.page_nodes(found).collect()] == [(2, 5)]
