@@ -105,6 +105,25 @@ def test_classes_of_code_points():
         assert joined == [kind == k for k in "LNOZ"], hex(ord(char))
 
 
+def test_stretches_of_odd_code_points_go_to_the_library(texts, monkeypatch):
+    odd = {c: False for c in "🙂😀　٣नश\u200b"}
+    rank, plain = vocab.rank_bpe(BPE_RANKS), vocab.json_bpe(BPE_JSON)
+    counter = token_count.Counter(BPE_JSON, token_count.prove_whole_tokens(BPE_JSON))
+    for bpe in (rank, plain):
+        monkeypatch.setattr(bpe.classes, "known", dict(odd))
+    encoding, library = brute_tiktoken(), Tokenizer.from_file(BPE_JSON)
+    asked = []
+    whole = rank.whole
+    monkeypatch.setattr(rank, "whole", lambda text: asked.append(text) or whole(text))
+    mixed = ["so 🙂 it goes on and on " * 200, "a 🙂  b\n 🙂 c", "🙂", " 🙂 ", "x🙂y z 1🙂2 w", "٣ 4 ٣ 5 नमश x"]
+    for text in [*mixed, *(t or "" for t in texts[: len(EDGES)])]:
+        ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+        assert bpe_chunks.encode_text(rank, text, 64, 16) == ids, repr(text)[:80]
+        told = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(plain.encode(text), "<u4").tolist() == told and counter.count(text) == len(told), repr(text)[:80]
+    assert asked and max(map(len, asked[:200])) < 10
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_count.count_tokens(spark, none, BPE_JSON).count() == 0
