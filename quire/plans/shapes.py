@@ -19,7 +19,7 @@ from ..kernel.values import Name, PdfError, PdfString, Ref, Refusal, Stream
 from ..operators import relational as rel
 from ..runtime import Scratch
 from ..sources import scan, sink
-from ..sources.arrow import map_groups, map_rows
+from ..sources.arrow import map_groups, map_rows, map_tables
 from . import corpora
 from .corpora import FILE, rows_of, stored, table
 
@@ -101,29 +101,31 @@ def created_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS_PER_FILE = 256
 
 
-@stored
+@stored(file_rows=128)  # of about 140 kB each
 def shared_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page-tree node for each order; its lines are kids, and lines of a part and of the even part below it are one page."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("bucket"))
 
     def work(key, found):
-        orders: dict[int, list[dict]] = {}
-        for r in sorted(found, key=lambda r: (r["l_orderkey"], r["l_linenumber"])):
-            orders.setdefault(r["l_orderkey"], []).append(r)
+        found = found.sort_by([("l_orderkey", "ascending"), ("l_linenumber", "ascending")])
+        orders: dict[int, list[int]] = {}
+        for order, part in zip(found.column("l_orderkey").to_pylist(), found.column("l_partkey").to_pylist()):
+            orders.setdefault(order, []).append(part)
         objects, tops, total = [], [], 0
         for lines in orders.values():
             node = Ref(3 + len(objects))
-            parts = {r["l_partkey"] for r in lines}
-            shown = [r["l_partkey"] // 2 * 2 if r["l_partkey"] // 2 * 2 in parts else r["l_partkey"] for r in lines]
+            parts = set(lines)
+            shown = [even if (even := part // 2 * 2) in parts else part for part in lines]
             numbers = {part: Ref(node.number + 1 + k) for k, part in enumerate(sorted(set(shown)))}
             objects.append((node.number, 0, {"Type": Name("Pages"), "Parent": Ref(2), "Kids": [numbers[p] for p in shown], "Count": len(shown)}))
-            objects += [(n.number, 0, {"Type": Name("Page"), "Parent": node, "MediaBox": [0, 0, 9, 9], "Resources": {}}) for n in numbers.values()]
+            page = {"Type": Name("Page"), "Parent": node, "MediaBox": [0, 0, 9, 9], "Resources": {}}
+            objects += [(n.number, 0, page) for n in numbers.values()]
             tops.append(node)
             total += len(shown)
         root = {"Type": Name("Pages"), "Kids": tops, "Count": total}
         return [(str(key[0]), writer.write_file([(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2)}), (2, 0, root), *objects], ROOT))]
 
-    return map_groups(rows, ["bucket"], FILE, work)
+    return map_tables(rows, ["bucket"], FILE, work)
 
 
 @stored
@@ -368,11 +370,11 @@ def settled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kids that the page tree lists again, by a window over the lists and by the walk."""
-    files = shared_page_files(spark, sf_dir)
-    kids = scan.nodes(files, ("Kids",)).where("path like '/Kids[%' and kind = 'ref'").select("file_id", "object_number", "ref_num", "ordinal")
-    visits = kids.withColumn("visit", F.struct("object_number", "ordinal"))
+    lists = Scratch(spark, "page_lists").keep(scan.page_lists(shared_page_files(spark, sf_dir)), "lists")
+    kids = lists.where("clause is null").select("file_id", "object_number", F.posexplode("kids").alias("ordinal", "ref_num")).where("ref_num is not null")
+    visits = kids.select("file_id", "ref_num", F.struct("object_number", "ordinal").alias("visit"))
     later = rel.later_visits(visits, ["file_id", "ref_num"], "visit").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_later"))
-    walked = scan.violations(files).where(F.col("clause") == pagetree.DUPLICATE).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_walked"))
+    walked = lists.where(F.col("clause") == pagetree.DUPLICATE).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_walked"))
     return later.join(walked, "file_id", "full_outer").select(_key().alias("bucket"), "n_later", "n_walked")
 
 

@@ -59,6 +59,49 @@ def test_values_read_back_as_written():
         writer.format_real(float("nan"))
 
 
+PIECES = (
+    "<<", ">>", "<<", ">>", "[", "]", "[", "]", "/A", "/B", "/A#20b", "/\xff", "/", "1", "+2", "-3", "0", "1.5", ".5", "-4.", "7 0 R", "7 1R", "0 0 R", "8 0 R/C", "9 0 Rx",
+    "[1 2 3]", "[1 0 R 2 0 R]", "[]", "<<>>", "(a)", "(a(b)\\n)", "(\r)", "<4f4>", "<4 f>", "<4g>", "true", "false", "null", "nulls", "R", "%c\n", "%c", "9" * 18, "9" * 20, "\0", "\x0c", "1 2147483648 R", ")",
+)
+
+
+def outcome(parse):
+    try:
+        return repr(parse())
+    except PdfError as error:
+        return type(error).__name__, str(error)
+
+
+def test_plain_containers_are_read_as_token_by_token(monkeypatch):
+    """The short way gives the values and the errors of the long one, whatever stands in a container."""
+    chance = random.Random(5)
+    texts = ["<</A 1 /A 2>>", "[1 0 R 0 0 R]", "<</K[1 2 3 R]>>", "<</A(x)/B<41>/C[<<>>[]]>>x"]
+    texts += [chance.choice(("<<", "[", "")) + "".join(chance.choice(PIECES) + chance.choice((" ", "", "\n")) for _ in range(chance.randrange(9))) + chance.choice((">>", "]", "")) for _ in range(4000)]
+    objects = [b"%s 0 obj%s%s endobj%s" % (n, gap, t.encode("latin-1"), end) for t in texts for n, gap, end in ((b"5", b" ", b" "), (b"0", b"\n", b"x"))]
+    long = lambda data: outcome(lambda: lexer.parse_indirect(lexer.TokenReader(lexer.Cursor(data)))[::2])
+    short = lambda data: [outcome(lambda: (p[0][0], p[1])) for _ in range(2) if (p := lexer.plain_indirect(data, 0, known)) is not None]
+    known, read_short = {}, [outcome(lambda: read(t)) for t in texts]
+    plain = [short(data) for data in objects]
+    monkeypatch.setattr(lexer, "_plain_container", lambda data, at: None)
+    assert read_short == [outcome(lambda: read(t)) for t in texts]
+    assert sum(map(bool, plain)) > 100 and all(p == long(data) for data, found in zip(objects, plain) for p in found)
+
+
+def test_plain_files_are_read_without_single_tokens(monkeypatch):
+    """A page tree in the form that the writer gives costs no token for each object, and what pages share is written and read once."""
+    taken, texts = [], []
+    real, text_of = lexer.next_token, writer._write_body
+    monkeypatch.setattr(lexer, "next_token", lambda cursor: taken.append(cursor.pos) or real(cursor))
+    monkeypatch.setattr(writer, "_write_body", lambda value: texts.append(value) or text_of(value))
+    page = {"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, 9, 9], "Resources": {}}
+    kids = [Ref(3 + k // 2) for k in range(600)]
+    objects = [(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2)}), (2, 0, {"Type": Name("Pages"), "Kids": kids, "Count": 600}), *((n, 0, page) for n in range(3, 303))]
+    document = files.parse(writer.write_file(objects, {"Root": Ref(1)}))
+    assert document.collect() == objects and len(texts) == 3 and len(taken) < 20
+    assert document.get(3) is document.get(302)
+    assert [v[2] for v in pagetree.check_page_tree(document) if v[0] == pagetree.DUPLICATE] == list(range(3, 303))
+
+
 @pytest.mark.parametrize("eol", [" \n", " \r", "\r\n"])
 def test_classic_files(eol):
     document = files.parse(build_pdf(["<< /Pages 2 0 R >>", "(x)"], eol=eol, junk="junk\n"))

@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import udfs
-from quire.kernel import cosjson, files, survey
+from quire.kernel import cosjson, files, pagetree, survey
 from quire.kernel.lexer import Cursor, TokenReader
 from quire.kernel.values import Name, PdfString, Ref, Stream
 from quire.operators import relational as rel
-from quire.plans import corpora
+from quire.plans import corpora, shapes
+from quire.runtime import Scratch
 from quire.sources import scan, sink
 from quire.streaming import watch
 from tests.kernel.build import PAGE, build_pdf, tree
@@ -46,6 +47,36 @@ def test_tables(found):
     assert {tuple(r) for r in looked} == {(1, "dict"), (2, "dict"), (3, "dict"), (4, "dict")}
 
 
+def test_page_lists(spark):
+    """Lists and violations from one reading are those of the node table and of the violations."""
+    page = PAGE.format(parent=2, more="")
+    more = {
+        "again": tree("<< /Type /Pages /Kids [3 0 R 4 0 R 3 0 R (x) [4 0 R]] /Count 2 >>", page, page),
+        "own": build_pdf(["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [] /Count 0 >>", "<< /Kids 2 0 R >>", "7"]),
+        "broken": build_pdf(["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R 3 0 R] /Count 2 >>", "<< )"]),
+    }
+    files = spark.createDataFrame([("good", GOOD), ("bad", BAD), ("none", None), *more.items()], "file_id string, content binary")
+    got = scan.page_lists(files).collect()
+    assert sorted((r.file_id, r.object_number, r.kids) for r in got if r.clause is None) == [
+        ("again", 2, [3, 4, 3, None, None]), ("broken", 2, [3, 3]), ("good", 2, [3, 4]), ("own", 2, []),
+    ]
+    told = [(r.file_id, r.clause, r.object_number) for r in scan.violations(files).collect()]
+    assert [(r.file_id, r.clause, r.object_number) for r in got if r.clause] == told and ("again", pagetree.DUPLICATE, 3) in told
+
+
+def test_parts_of_large_files_have_few_rows(spark, sf):
+    """A reader's batch is up to 4096 rows of a part, which of large files would not fit."""
+    path = Scratch(spark, "few").keep(spark.range(1000, numPartitions=1), "few", file_rows=128).quire_path
+    rows = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) == 1000 and max(rows) == 128
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_partkey", (F.col("l_orderkey") * 256).alias("l_orderkey"))
+    few = Scratch(spark, "lines")
+    lines.write.parquet(f"{few.root}/lineitem.parquet")
+    files = shapes.shared_page_files(spark, few.root)
+    rows = [r["count"] for r in files.groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) == lines.select("l_orderkey").distinct().count() > 4 * 128 and max(rows) <= 128
+
+
 DEEP = 20_000
 ODD = {
     "digits": build_pdf(["<< /Type /Catalog >>", "9" * 5000]),
